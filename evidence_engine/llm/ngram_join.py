@@ -243,13 +243,6 @@ def _linked_classes(spark, docs, classes, percent):
     entries = texts.mapInArrow(_prefix_entries(bits, percent, order_of), "p long, k binary, cls binary, n binary, pos binary")
     post = keep(entries.groupBy("p").applyInPandas(_postings(bits), "key long, cls long, n int, pos int"), "postings")
 
-    slices = post.select("cls").distinct().mapInPandas(_wanted_bitmap, "p int, b binary").groupBy("p").applyInPandas(_merge_bitmap, "p int, b binary")
-    bitmap = np.zeros(1 << 21, dtype=np.uint8)
-    for row in slices.collect():  # at most 64 slices of 32 KB
-        bitmap[row.p << 15 : (row.p + 1) << 15] = np.frombuffer(zlib.decompress(row.b), np.uint8)
-    wanted = context.broadcast(zlib.compress(bitmap.tobytes(), 1))
-    sets = keep(texts.mapInArrow(_set_rows(wanted), "cls long, shingles binary").groupBy("cls").agg(F.first("shingles").alias("shingles")), "sets")
-
     links, labels = None, None
     for seed in (1, 2, None):
         at = post.withColumn("comp", F.col("cls"))
@@ -257,7 +250,9 @@ def _linked_classes(spark, docs, classes, percent):
             at = post.join(labels, post.cls == labels.node, "left").select("key", "cls", "n", "pos", F.coalesce("comp", "cls").alias("comp"))
         pairs = _hub_pairs(at, seed, percent) if seed else _all_pairs(at, percent)
         pairs = keep(pairs.distinct(), "pairs")
-        near = keep(_verified(pairs, sets, percent), "links")
+        if pairs.isEmpty():
+            continue
+        near = keep(_verified(pairs, texts, percent), "links")
         if near.isEmpty():
             continue
         links = near if links is None else links.union(near)
@@ -295,7 +290,19 @@ def _all_pairs(at, percent):
     return met.select(F.least("cls", "cls2").alias("a"), F.greatest("cls", "cls2").alias("b"))
 
 
-def _verified(pairs, sets, percent):
+def _sets_of(texts, wanted):
+    """(cls, shingles) of the wanted classes. A bitmap of 2**24 bits, whatever their number, lets few
+    others through; the joins drop those."""
+    slices = wanted.mapInPandas(_wanted_bitmap, "p int, b binary").groupBy("p").applyInPandas(_merge_bitmap, "p int, b binary")
+    bitmap = np.zeros(1 << 21, dtype=np.uint8)
+    for row in slices.collect():  # at most 64 slices of 32 KB
+        bitmap[row.p << 15 : (row.p + 1) << 15] = np.frombuffer(zlib.decompress(row.b), np.uint8)
+    shared = texts.sparkSession.sparkContext.broadcast(zlib.compress(bitmap.tobytes(), 1))
+    return keep(texts.mapInArrow(_set_rows(shared), "cls long, shingles binary").groupBy("cls").agg(F.first("shingles").alias("shingles")), "sets")
+
+
+def _verified(pairs, texts, percent):
+    sets = _sets_of(texts, pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct())
     one = pairs.join(sets.withColumnRenamed("shingles", "x"), F.col("a") == F.col("cls")).select("a", "b", "x")
     two = one.join(sets.withColumnRenamed("shingles", "y"), F.col("b") == F.col("cls")).select("a", "b", "x", "y")
     return two.mapInArrow(_similar(percent), "a long, b long")
