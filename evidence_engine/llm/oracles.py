@@ -21,6 +21,16 @@ SELECT s.doc_id, CAST(len(sh) AS BIGINT) AS n_shingles, CAST(min(r.y) AS BIGINT)
 FROM s JOIN reach r ON r.x = s.doc_id GROUP BY s.doc_id, len(sh)
 """
 
+EXACT_TOPK = r"""
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r FROM p)
+SELECT query_id, CAST(r AS INTEGER) AS rank, vec_id, score FROM r WHERE r <= 20
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_ngram_jaccard_join": NGRAM_JACCARD_JOIN}
+    return {"op3_ngram_jaccard_join": NGRAM_JACCARD_JOIN, "op7_exact_topk": EXACT_TOPK}

@@ -5,11 +5,46 @@ from __future__ import annotations
 from .common import table
 
 
+def op2_mix_sources(spark, sf_dir):
+    from .mixing import mix_copies
+
+    return mix_copies(table(spark, sf_dir, "documents")).drop("key")
+
+
 def op3_ngram_jaccard_join(spark, sf_dir):
     from .ngram_join import ngram_jaccard_join
 
     return ngram_jaccard_join(table(spark, sf_dir, "documents"))
 
 
+def op6_document_fingerprints(spark, sf_dir):
+    from .fingerprint import fingerprints
+
+    return fingerprints(table(spark, sf_dir, "documents"))
+
+
+def op7_exact_topk(spark, sf_dir):
+    from .exact_topk import exact_topk
+
+    return exact_topk(table(spark, sf_dir, "embeddings"))
+
+
+def op8_byte_level_bpe(spark, sf_dir):
+    import public_tokenizers
+    from pyspark.sql import functions as F
+
+    from .bpe import decode, encode
+
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    both = decode(encode(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN), path)
+    return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op10_vector_shards(spark, sf_dir):
+    from .sharding import vector_shards
+
+    return vector_shards(table(spark, sf_dir, "documents"))
+
+
 def queries():
     return {name: f for name, f in globals().items() if name.startswith("op")}
