@@ -5,6 +5,12 @@ from __future__ import annotations
 from .common import table
 
 
+def op1_license_scan(spark, sf_dir):
+    from .license_scan import license_labels, license_scan
+
+    return license_labels(license_scan(table(spark, sf_dir, "documents")))
+
+
 def op2_mix_sources(spark, sf_dir):
     from .mixing import mix_copies
 
@@ -17,6 +23,12 @@ def op3_ngram_jaccard_join(spark, sf_dir):
     return ngram_jaccard_join(table(spark, sf_dir, "documents"))
 
 
+def op4_quality_classifier(spark, sf_dir):
+    from .quality import quality_scores
+
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_document_fingerprints(spark, sf_dir):
     from .fingerprint import fingerprints
 
