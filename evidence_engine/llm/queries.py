@@ -29,6 +29,14 @@ def op4_quality_classifier(spark, sf_dir):
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_lm_scoring(spark, sf_dir):
+    import public_tokenizers
+
+    from .lm import lm_scores
+
+    return lm_scores(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def op6_document_fingerprints(spark, sf_dir):
     from .fingerprint import fingerprints
 
@@ -52,6 +60,17 @@ def op8_byte_level_bpe(spark, sf_dir):
     return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op9_language_id(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from .language import language_id
+
+    docs = table(spark, sf_dir, "documents")
+    found = language_id(table(spark, sf_dir, "pages"), docs, docs)
+    of = {"doc_id": "document", "page_id": "page"}
+    return found.select(*[F.when(F.col("kind") == kind, F.col("id")).alias(name) for name, kind in of.items()], "lang", "confidence", "text_lang", "letters", "accepted")
+
+
 def op10_vector_shards(spark, sf_dir):
     from .sharding import vector_shards
 
