@@ -1,13 +1,88 @@
-"""The corpus pipeline: stages applied to the documents table one after another."""
+"""The corpus pipeline: stages applied to the documents table one after another.
 
-STAGES = []
+A doc_id names one document. Rows that share an id stay if any of them is accepted; all stages work
+on every row that the stage before kept.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import functions as F
+
+from evidence_engine.llm.bpe import decode, encode
+from evidence_engine.llm.common import keep, table
+from evidence_engine.llm.language import document_evidence, identify
+from evidence_engine.llm.language import train as train_languages
+from evidence_engine.llm.mixing import mix_copies
+from evidence_engine.llm.ngram_join import ngram_jaccard_join
+from evidence_engine.llm.quality import quality_scores
+
+VOCABULARY = "byte_bpe_multi_50k.tiktoken"
+
+
+def _without(docs, gone):
+    """docs without the ids in gone (doc_id)."""
+    gone = keep(gone.select(F.col("doc_id").alias("gone")), "gone")
+    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("gone")), "left_anti")
+
+
+def language_stage(spark, docs, sf_dir):
+    """Documents without letters or without a language of enough confidence go; lang becomes what was
+    identified where it differs."""
+    found = identify(document_evidence(docs), train_languages(docs))
+    found = keep(found.groupBy(F.col("id").alias("doc_id")).agg(F.max("accepted").alias("accepted"), F.max("lang").alias("found")), "languages")
+    kept = _without(docs, found.filter("not accepted"))
+    known = document_evidence(docs).select(F.col("id"), F.col("declared"))
+    other = found.join(known, F.col("doc_id").eqNullSafe(F.col("id"))).filter("accepted and not (declared <=> found)").select(F.col("doc_id").alias("named"), "found").distinct()
+    kept = kept.join(keep(other, "relabelled"), F.col("doc_id").eqNullSafe(F.col("named")), "left")
+    return kept.select(*[F.coalesce("found", "lang").alias("lang") if c == "lang" else F.col(c) for c in docs.columns])
+
+
+def quality_stage(spark, docs, sf_dir):
+    """Documents that the classifier predicts as label 0 go."""
+    scored = quality_scores(docs, table(spark, sf_dir, "labels"))
+    return _without(docs, scored.groupBy("doc_id").agg(F.max("predicted").alias("p")).filter("p = 0"))
+
+
+def near_duplicate_stage(spark, docs, sf_dir):
+    """The smallest doc_id of each component stays, once."""
+    joined = keep(ngram_jaccard_join(docs), "components")
+    kept = _without(docs, joined.filter("not (doc_id <=> component_id)").distinct())
+    again = keep(joined.groupBy(F.col("doc_id").alias("again")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("again"), "again")
+    if again.isEmpty():
+        return kept
+    twice = F.col("doc_id").eqNullSafe(F.col("again"))
+    return kept.join(again, twice, "left_anti").union(kept.join(again, twice, "left_semi").dropDuplicates(["doc_id", "text"]))
+
+
+def mixing_stage(spark, docs, sf_dir):
+    """Each document as often as the mix takes it: not at all, or up to three times."""
+    copies = mix_copies(docs).filter("copies > 0").groupBy("key").agg(F.max("copies").alias("copies"))
+    taken = docs.withColumn("of", F.xxhash64("doc_id", "text", "source")).join(copies, F.col("of") == F.col("key"))
+    return taken.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select(*docs.columns)
+
+
+def bpe_stage(spark, docs, sf_dir):
+    """Token ids of every row, and the digest of the bytes that they decode to."""
+    path = public_tokenizers.path(VOCABULARY)
+    both = decode(encode(docs, path, public_tokenizers.PATTERN), path)
+    return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+STAGES = [
+    ("language_id", language_stage),
+    ("quality_classifier", quality_stage),
+    ("ngram_jaccard_join", near_duplicate_stage),
+    ("mix_sources", mixing_stage),
+    ("byte_level_bpe", bpe_stage),
+]
 
 #: No SQL can express the stages that are trained or randomised; tests hold them against brute force.
 ORACLE_SQL = None
 
 
 def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = keep(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
