@@ -1 +1,10 @@
-"""Evidence verification over text, expressed as Spark DataFrame operators."""
+"""Evidence verification over text, expressed as Spark DataFrame operators.
+
+Functions that run on the executors are pickled by value, so executors need no copy of the package.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

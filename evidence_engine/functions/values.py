@@ -38,6 +38,11 @@ def _all(text, pattern, group):
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
 
 
+def let(value, body):
+    """body(value) with value computed once, however often body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def _lookup(key, table):
     return F.element_at(F.create_map(*[F.lit(x) for kv in table.items() for x in kv]), key)
 
@@ -56,12 +61,15 @@ def _masked(text):
 
 def quantities(text):
     """One canonical token for each quantity, in order."""
-    text = _masked(F.coalesce(text, F.lit("")))
+    return let(_masked(F.coalesce(text, F.lit(""))), _quantities)
+
+
+def _quantities(text):
     found = F.arrays_zip(*[_all(text, _QUANTITY, g).alias(n) for g, n in enumerate(("pre", "num", "word", "letter", "post"), 1)])
 
     def token(q):
         scale = F.coalesce(_lookup(F.nullif(F.lower(F.concat(q["word"], q["letter"])), F.lit("")), {k: float(v) for k, v in MAGNITUDES.items()}), F.lit(1.0))
-        value = number(F.regexp_replace(q["num"], ",", "").cast("double") * scale)
+        value = let(F.regexp_replace(q["num"], ",", "").cast("double") * scale, number)
         post = F.lower(F.trim(q["post"]))
         money = F.coalesce(_lookup(F.nullif(F.lower(F.trim(q["pre"])), F.lit("")), CURRENCIES), _lookup(F.nullif(post, F.lit("")), CURRENCIES))
         return F.when(post.rlike(r"^(%|percent|per\s+cent)$"), F.concat(F.lit("pct:"), value)).when(money.isNotNull(), F.concat(F.lit("money:"), money, F.lit(":"), value)).otherwise(F.concat(F.lit("num:"), value))
@@ -78,8 +86,10 @@ def _month_number(name):
 def dates(text):
     """Distinct date tokens at every granularity that the text supports; impossible days are left out,
     their month and year kept unless the form was ISO."""
-    text = F.coalesce(text, F.lit(""))
+    return let(F.coalesce(text, F.lit("")), _dates)
+
 
+def _dates(text):
     def parts(name, groups):
         return F.arrays_zip(*[_all(text, _DATES[name], i).alias(g) for i, g in enumerate(groups, 1)])
 
@@ -144,6 +154,10 @@ def unsupported(required, available):
     """Required values that are not available. Money is also met by an unlabelled number of the same
     amount, unless the source labels that amount with another currency."""
 
+    return let(available, lambda have: _unmet(required, have))
+
+
+def _unmet(required, available):
     def amount(v):
         return F.element_at(F.split(v, ":"), -1)
 

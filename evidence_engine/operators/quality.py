@@ -39,7 +39,8 @@ def published_year(text, as_of_year):
 
 
 def freshness(year, as_of_year, half_life):
-    return F.coalesce(F.round(F.exp(-F.greatest(F.lit(0), F.lit(as_of_year) - year) * math.log(2) / half_life), 3), F.lit(0.6))
+    age = F.greatest(F.lit(0), F.lit(as_of_year) - year)
+    return F.when(year.isNull(), 0.6).otherwise(F.round(F.exp(-age * math.log(2) / half_life), 3))
 
 
 def assess(evidence: DataFrame, as_of_year: int, time_sensitive: bool = False) -> DataFrame:
