@@ -7,7 +7,7 @@ first n - ceil(t * n) + 1. Length and positional filters cut candidates where po
 suffix filter cuts them before the sets are compared, and each pair is compared once.
 
 Large groups of near copies would make a pair of every two members. Only reachability counts, so
-two rounds first compare the members of a posting with one hub each, and the last round compares
+two rounds first compare each class with a few hubs that it shares postings with, and the last round compares
 all pairs of a posting whose members are still in different components. No link that changes a
 component is lost, and no number of partners or candidates is capped.
 """
@@ -244,11 +244,11 @@ def _linked_classes(spark, docs, classes, percent):
     post = keep(entries.groupBy("p").applyInPandas(_postings(bits), "key long, cls long, n int, pos int"), "postings")
 
     links, labels = None, None
-    for seed in (1, 2, None):
+    for seeds in (range(8), range(8, 16), None):
         at = post.withColumn("comp", F.col("cls"))
         if labels is not None:
             at = post.join(labels, post.cls == labels.node, "left").select("key", "cls", "n", "pos", F.coalesce("comp", "cls").alias("comp"))
-        pairs = _hub_pairs(at, seed, percent) if seed else _all_pairs(at, percent)
+        pairs = _hub_pairs(at, seeds, percent) if seeds else _all_pairs(at, percent)
         pairs = keep(pairs.distinct(), "pairs")
         if pairs.isEmpty():
             continue
@@ -271,14 +271,16 @@ def _second(df):
     return df.select(*[F.col(c).alias(f"{c}2") for c in ("key", "cls", "n", "pos", "comp")])
 
 
-def _hub_pairs(at, seed, percent):
-    """Each member of a posting with the posting's hub, if they are in different components.
+def _hub_pairs(at, seeds, percent):
+    """Each class with one hub for each seed that is in another component: a fixed number of pairs a class.
 
-    The hub is the member with the smallest seeded hash, so the postings of one group of near
-    copies agree on a few hubs."""
-    hub = at.groupBy("key").agg(F.min(F.struct(F.xxhash64("cls", F.lit(seed)).alias("h"), "cls", "n", "pos", "comp")).alias("hub"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-    hub = hub.filter("lo < hi").select(F.col("key").alias("key2"), F.col("hub.cls").alias("cls2"), F.col("hub.n").alias("n2"), F.col("hub.pos").alias("pos2"), F.col("hub.comp").alias("comp2"))
-    met = at.join(hub, (F.col("key") == F.col("key2")) & (F.col("comp") != F.col("comp2")) & _may_link(percent))
+    A posting's hub for a seed is the member with the smallest seeded hash, and a class takes the smallest
+    of its postings' hubs, so the members of one group of near copies nearly all take the same ones."""
+    hubs = [F.min(F.struct(F.xxhash64("cls", F.lit(seed)).alias("h"), F.lit(seed).alias("seed"), F.col("cls").alias("cls2"), F.col("n").alias("n2"), F.col("pos").alias("pos2"), F.col("comp").alias("comp2"))).alias(f"hub{seed}") for seed in seeds]
+    hub = at.groupBy(F.col("key").alias("key2")).agg(*hubs, F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("key2", F.array(*[f"hub{seed}" for seed in seeds]).alias("hubs"))
+    met = at.join(hub, F.col("key") == F.col("key2")).select("cls", "n", "pos", "comp", F.inline("hubs"))
+    met = met.filter((F.col("comp") != F.col("comp2")) & _may_link(percent))
+    met = met.groupBy("cls", "seed").agg(F.min(F.struct("h", "cls2")).alias("best")).select("cls", F.col("best.cls2").alias("cls2"))
     return met.select(F.least("cls", "cls2").alias("a"), F.greatest("cls", "cls2").alias("b"))
 
 
