@@ -8,7 +8,8 @@ suffix filter cuts them before the sets are compared, and each pair is compared
 
 Large groups of near copies would make a pair of every two members. Only reachability counts, so
 two rounds first compare each class with a few hubs that it shares postings with, and the last round compares
-all pairs of a posting whose members are still in different components. No link that changes a
+all pairs of a posting whose members are still in different components; there, the parities of hashed
+shingle counts bound how much two sets differ before a pair is made. No link that changes a
 component is lost, and no number of partners or candidates is capped.
 """
 
@@ -30,6 +31,9 @@ from .components import components
 #: The rare-first order knows a shingle's document frequency by powers of two from 4 up; 2**24 cells
 #: of one byte, whatever the input. Shingles that share a cell take the larger of their classes.
 CELL_BITS = 24
+#: Longs of a class's parity sketch: bit i says whether an odd number of shingles hash to i. Sets differ in at
+#: least as many shingles as sketches differ in bits.
+SKETCH = tuple(f"s{i}" for i in range(8))
 
 
 def _sets(batch: pa.RecordBatch):
@@ -51,11 +55,14 @@ def _prefix_length(n: int, percent: int) -> int:
 
 def _class_rows(batches, percent):
     for batch in batches:
-        ids, ns, classes = batch.column("doc_id"), [], []
+        ids, ns, classes, sketches = batch.column("doc_id"), [], [], []
         for _, s, digest in _sets(batch):
             ns.append(len(s))
             classes.append(digest if len(s) else None)
-        yield pa.RecordBatch.from_arrays([ids, pa.array(ns, pa.int64()), pa.array(classes, pa.int64())], ["doc_id", "n_shingles", "cls"])
+            odd = np.bincount((s >> np.uint64(55)).astype(np.int64), minlength=64 * len(SKETCH)) & 1
+            sketches.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
+        sketch = np.stack(sketches) if sketches else np.zeros((0, len(SKETCH)), np.int64)
+        yield pa.RecordBatch.from_arrays([ids, pa.array(ns, pa.int64()), pa.array(classes, pa.int64()), *[pa.array(c) for c in sketch.T.copy()]], ["doc_id", "n_shingles", "cls", *SKETCH])
 
 
 def _blobs(keys: np.ndarray, bits: int, **columns: np.ndarray):
@@ -214,7 +221,7 @@ def ngram_jaccard_join(docs: DataFrame, percent: int = 80) -> DataFrame:
     """
     settle(docs.sparkSession)
     spark, docs = docs.sparkSession, plain(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
-    classes = keep(docs.mapInArrow(lambda b: _class_rows(b, percent), "doc_id long, n_shingles long, cls long"), "classes")
+    classes = keep(docs.mapInArrow(lambda b: _class_rows(b, percent), "doc_id long, n_shingles long, cls long, " + ", ".join(f"{c} long" for c in SKETCH)), "classes")
     labels = _linked_classes(spark, docs.select("doc_id", "text"), classes, percent)
     known = classes.filter("cls is not null")
     if labels is not None:
@@ -248,7 +255,7 @@ def _linked_classes(spark, docs, classes, percent):
         at = post.withColumn("comp", F.col("cls"))
         if labels is not None:
             at = post.join(labels, post.cls == labels.node, "left").select("key", "cls", "n", "pos", F.coalesce("comp", "cls").alias("comp"))
-        pairs = _hub_pairs(at, seeds, percent) if seeds else _all_pairs(at, percent)
+        pairs = _hub_pairs(at, seeds, percent) if seeds else _all_pairs(at, classes, percent)
         pairs = keep(pairs.distinct(), "pairs")
         if pairs.isEmpty():
             continue
@@ -267,10 +274,6 @@ def _may_link(percent):
     return length & (1 + F.least(F.col("n") - F.col("pos") - 1, F.col("n2") - F.col("pos2") - 1) >= need)
 
 
-def _second(df):
-    return df.select(*[F.col(c).alias(f"{c}2") for c in ("key", "cls", "n", "pos", "comp")])
-
-
 def _hub_pairs(at, seeds, percent):
     """Each class with one hub for each seed that is in another component: a fixed number of pairs a class.
 
@@ -284,11 +287,16 @@ def _hub_pairs(at, seeds, percent):
     return met.select(F.least("cls", "cls2").alias("a"), F.greatest("cls", "cls2").alias("b"))
 
 
-def _all_pairs(at, percent):
+def _all_pairs(at, classes, percent):
     """All pairs of a posting across components; postings within one component are left out first."""
     open_keys = at.groupBy(F.col("key").alias("k")).agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("k")
     at = at.join(open_keys, F.col("key") == F.col("k"), "left_semi")
-    met = at.join(_second(at), (F.col("key") == F.col("key2")) & (F.col("comp") < F.col("comp2")) & _may_link(percent))
+    sketches = classes.filter("cls is not null").groupBy(F.col("cls").alias("of")).agg(*[F.first(c).alias(c) for c in SKETCH])
+    at = keep(at.join(sketches, F.col("cls") == F.col("of")).drop("of"), "open")
+    other = at.select(*[F.col(c).alias(f"{c}2") for c in at.columns])
+    differ = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"{c}2"))) for c in SKETCH), F.lit(0))
+    near = differ <= F.col("n") + F.col("n2") - 2 * F.ceil((F.col("n") + F.col("n2")) * percent / (100 + percent))
+    met = at.join(other, (F.col("key") == F.col("key2")) & (F.col("comp") < F.col("comp2")) & _may_link(percent) & near)
     return met.select(F.least("cls", "cls2").alias("a"), F.greatest("cls", "cls2").alias("b"))
 
 
