@@ -2,7 +2,7 @@
 
 A pre-token's adjacent pairs wait in buckets, one per merge rank, each holding positions of the
 linked list of parts. A hierarchical bitmap marks the ranks whose bucket is not empty, so the next
-rank is three find-first-set steps whatever the pre-token's length. Entries that a merge has made
+rank is two find-first-set steps whatever the pre-token's length. Entries that a merge has made
 stale are skipped when they come up. Work and memory are nearly linear in the pre-token's length.
 """
 
@@ -29,85 +29,102 @@ def read_ranks(raw: bytes) -> dict[bytes, int]:
     return {base64.b64decode(a): int(b) for a, b in map(bytes.split, raw.splitlines())}
 
 
-class RankQueue:
-    """Positions by rank: push in any order, pop the smallest rank and its leftmost position."""
-
-    def __init__(self, ranks: int):
-        self.low, self.mid, self.top = [0] * (ranks // 64 + 1), [0] * (ranks // 4096 + 1), 0
-        self.buckets: dict[int, list[int]] = {}
-
-    def push(self, rank: int, position: int) -> None:
-        bucket = self.buckets.get(rank)
-        if bucket is not None:
-            heapq.heappush(bucket, position)
-            return
-        self.buckets[rank] = [position]
-        word = rank >> 6
-        self.low[word] |= 1 << (rank & 63)
-        self.mid[word >> 6] |= 1 << (word & 63)
-        self.top |= 1 << (word >> 6)
-
-    def pop(self) -> tuple[int, int]:
-        top = (self.top & -self.top).bit_length() - 1
-        mid = self.mid[top]
-        word = (top << 6) + (mid & -mid).bit_length() - 1
-        low = self.low[word]
-        rank = (word << 6) + (low & -low).bit_length() - 1
-        bucket = self.buckets[rank]
-        position = heapq.heappop(bucket)
-        if not bucket:
-            del self.buckets[rank]
-            self.low[word] = low = low & (low - 1)
-            if not low:
-                self.mid[top] = mid = mid & (mid - 1)
-                if not mid:
-                    self.top &= self.top - 1
-        return rank, position
-
-
-def merge(piece: bytes, ranks: dict[bytes, int], queue: RankQueue) -> list[int]:
-    """Ids of one pre-token; queue is empty before and after."""
-    whole = ranks.get(piece)
-    if whole is not None:
-        return [whole]
-    n, get = len(piece), ranks.get
-    after, before = range(1, n + 1), range(-1, n)
-    waiting = [get(piece[i : i + 2], -1) for i in range(n - 1)] + [-1]
-    if n < 4096:
-        after, before = list(after), list(before)
-    else:  # four bytes a position instead of a pointer to an object each
-        after, before, waiting = array("i", after), array("i", before), array("i", waiting)
-    for i, rank in enumerate(waiting):
-        if rank >= 0:
-            queue.push(rank, i)
-    while queue.top:
-        rank, i = queue.pop()
-        if waiting[i] != rank:
-            continue
-        gone = after[i]
-        end = after[gone]
-        waiting[gone] = -1
-        after[i], before[end] = end, i
-        waiting[i] = rank = get(piece[i : after[end]], -1) if end < n else -1
-        if rank >= 0:
-            queue.push(rank, i)
-        left = before[i]
-        if left >= 0:
-            waiting[left] = rank = get(piece[left:end], -1)
+class _Pairs(dict):
+    """Rank of the token that two tokens make, -1 for none; looked up when first asked for."""
+
+    def __init__(self, ranks):
+        self.ranks, self.vocabulary = ranks, {v: k for k, v in ranks.items()}
+
+    def __missing__(self, pair):
+        if len(self) > 500_000:
+            self.clear()
+        self[pair] = rank = self.ranks.get(self.vocabulary[pair >> 20] + self.vocabulary[pair & 0xFFFFF], -1)
+        return rank
+
+
+_BIT = [1 << i for i in range(256)]
+
+
+class Merger:
+    """Merges pre-tokens. The rank queue is `low` (a 256-bit word for each 256 ranks), a word on top of those,
+    and a bucket of positions for each rank that waits; it is empty between pre-tokens."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        self.ranks, self.pairs = ranks, _Pairs(ranks)
+        self.bytes = [ranks.get(bytes([b]), -1) for b in range(256)]
+        self.low = [0] * (max(ranks.values(), default=0) // 256 + 1)
+
+    def merge(self, piece: bytes) -> list[int]:
+        whole = self.ranks.get(piece)
+        if whole is not None:
+            return [whole]
+        n, pairs, low, single, bit = len(piece), self.pairs, self.low, self.bytes, _BIT
+        token = [single[b] for b in piece]
+        waiting = [pairs[a << 20 | b] for a, b in zip(token, token[1:])]
+        waiting.append(-1)
+        if n < 4096:
+            after, before = list(range(1, n + 1)), list(range(-1, n))
+        else:  # four bytes a position instead of a pointer to an object each
+            token, waiting, after, before = (array("i", x) for x in (token, waiting, range(1, n + 1), range(-1, n)))
+        buckets: dict[int, list[int]] = {}
+        top = 0
+
+        for i, rank in enumerate(waiting):
             if rank >= 0:
-                queue.push(rank, left)
-    out, i = [], 0
-    while i < n:
-        out.append(ranks[piece[i : after[i]]])
-        i = after[i]
-    return out
+                bucket = buckets.get(rank)
+                if bucket is None:
+                    buckets[rank] = [i]
+                    word = rank >> 8
+                    top |= bit[word] if word < 256 else 1 << word
+                    low[word] |= bit[rank & 255]
+                else:
+                    bucket.append(i)  # positions come in order, so the list stays a heap
+        while top:
+            word = (top & -top).bit_length() - 1
+            held = low[word]
+            first = held & -held
+            rank = (word << 8) + first.bit_length() - 1
+            bucket = buckets[rank]
+            if len(bucket) == 1:
+                i = bucket[0]
+                del buckets[rank]
+                low[word] = held = held ^ first
+                if not held:
+                    top &= top - 1
+            else:
+                i = heapq.heappop(bucket)
+            if waiting[i] != rank:
+                continue
+            gone = after[i]
+            end = after[gone]
+            waiting[gone] = -1
+            after[i], before[end] = end, i
+            token[i] = rank
+            left = before[i]
+            for at, pair in ((i, pairs[rank << 20 | token[end]] if end < n else -1), (left, pairs[token[left] << 20 | rank] if left >= 0 else -1)):
+                if at >= 0:
+                    waiting[at] = pair
+                if pair >= 0:
+                    bucket = buckets.get(pair)
+                    if bucket is None:
+                        buckets[pair] = [at]
+                        word = pair >> 8
+                        top |= bit[word] if word < 256 else 1 << word
+                        low[word] |= bit[pair & 255]
+                    else:
+                        heapq.heappush(bucket, at)
+        out, i = [], 0
+        while i < n:
+            out.append(token[i])
+            i = after[i]
+        return out
 
 
 class _Known(dict):
     """Span of each known chunk's ids in a pool; a new chunk is encoded when first asked for."""
 
     def __init__(self, ranks, pattern):
-        self.ranks, self.queue = ranks, RankQueue(max(ranks.values(), default=0) + 1)
+        self.merge = Merger(ranks).merge
         self.findall = regex.compile(pattern.replace(r"\S", f"[^{SPACE}]").replace(r"[^\s", f"[^{SPACE}").replace(r"\s", f"[{SPACE}]")).findall
         self.forget()
 
@@ -118,7 +135,7 @@ class _Known(dict):
     def __missing__(self, chunk):
         ids = []
         for piece in self.findall(chunk):
-            ids += merge(piece.encode(), self.ranks, self.queue)
+            ids += self.merge(piece.encode())
         while self.used + len(ids) > len(self.pool):
             self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
         self.pool[self.used : self.used + len(ids)] = ids
