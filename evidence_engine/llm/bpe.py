@@ -1,17 +1,19 @@
 """Byte-level BPE encoding and decoding with the ranks of a public vocabulary.
 
-A pre-token's adjacent pairs wait in buckets, one per merge rank, each holding positions of the
-linked list of parts. A hierarchical bitmap marks the ranks whose bucket is not empty, so the next
-rank is two find-first-set steps whatever the pre-token's length. Entries that a merge has made
-stale are skipped when they come up. Work and memory are nearly linear in the pre-token's length.
+Adjacent pairs wait in buckets, one per merge rank, each holding positions of the linked list of
+parts of one long pre-token or of many short ones laid end to end. A hierarchical bitmap marks the
+ranks whose bucket is not empty, so the next rank is two find-first-set steps whatever the length.
+Entries that a merge has made stale are skipped when they come up. Work and memory are nearly
+linear in the length.
 """
 
 from __future__ import annotations
 
 import base64
-import heapq
+import gc
 import re
 from array import array
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -43,106 +45,161 @@ class _Pairs(dict):
 
 
 _BIT = [1 << i for i in range(256)]
+#: Bytes of pre-tokens merged together: they share one rank queue, so a rank comes up once for all of them. So few
+#: stay in the processor's cache. A longer pre-token is a run of its own; beyond LONG it is held in packed arrays.
+RUN, LONG = 1 << 14, 1 << 18
 
 
 class Merger:
-    """Merges pre-tokens. The rank queue is `low` (a 256-bit word for each 256 ranks), a word on top of those,
-    and a bucket of positions for each rank that waits; it is empty between pre-tokens."""
+    """Merges pre-tokens laid end to end. The rank queue is `low` (a 256-bit word for each 256 ranks), a word on top
+    of those, and a bucket of positions for each rank that waits; it is empty between calls. Pairs never reach across a
+    pre-token's border, so each pre-token sees its own ranks in ascending order whatever stands beside it."""
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks, self.pairs = ranks, _Pairs(ranks)
-        self.bytes = [ranks.get(bytes([b]), -1) for b in range(256)]
+        self.single = np.array([ranks.get(bytes([b]), -1) for b in range(256)], np.int32)
+        self.double = np.full(1 << 16, -1, np.int32)
+        for token, rank in ranks.items():
+            if len(token) == 2:
+                self.double[token[0] << 8 | token[1]] = rank
         self.low = [0] * (max(ranks.values(), default=0) // 256 + 1)
 
     def merge(self, piece: bytes) -> list[int]:
-        whole = self.ranks.get(piece)
-        if whole is not None:
-            return [whole]
-        n, pairs, low, single, bit = len(piece), self.pairs, self.low, self.bytes, _BIT
-        token = [single[b] for b in piece]
-        waiting = [pairs[a << 20 | b] for a, b in zip(token, token[1:])]
-        waiting.append(-1)
-        if n < 4096:
-            after, before = list(range(1, n + 1)), list(range(-1, n))
-        else:  # four bytes a position instead of a pointer to an object each
-            token, waiting, after, before = (array("i", x) for x in (token, waiting, range(1, n + 1), range(-1, n)))
-        buckets: dict[int, list[int]] = {}
-        top = 0
-
-        for i, rank in enumerate(waiting):
-            if rank >= 0:
-                bucket = buckets.get(rank)
-                if bucket is None:
-                    buckets[rank] = [i]
-                    word = rank >> 8
-                    top |= bit[word] if word < 256 else 1 << word
-                    low[word] |= bit[rank & 255]
-                else:
-                    bucket.append(i)  # positions come in order, so the list stays a heap
+        return self.merge_all([piece])[0]
+
+    def merge_all(self, pieces: list[bytes]) -> list[list[int]]:
+        """The ids of each piece."""
+        out = [[rank] if (rank := self.ranks.get(piece)) is not None else [] for piece in pieces]
+        run, size = [], 0
+        for k, piece in enumerate(pieces):
+            if piece and not out[k]:
+                run.append(k)
+                size += len(piece)
+                if size > RUN:
+                    self._merge_run(pieces, run, out)
+                    run, size = [], 0
+        if run:
+            self._merge_run(pieces, run, out)
+        return out
+
+    def _merge_run(self, pieces, run, out):
+        data = np.frombuffer(b"".join([pieces[k] for k in run]), np.uint8)
+        stop = np.cumsum([len(pieces[k]) for k in run])
+        n, start = len(data), np.concatenate([[0], stop[:-1]])
+        ranks = np.full(n, -1, np.int32)
+        ranks[:-1] = self.double[data[:-1].astype(np.int32) << 8 | data[1:]]
+        ranks[stop - 1] = -1
+        after, before = np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n - 1, dtype=np.int32)
+        after[stop - 1] = before[start] = -1
+
+        order = np.argsort(ranks, kind="stable")
+        order = order[np.searchsorted(ranks[order], 0) :]
+        sorted_ranks, positions = ranks[order], order.tolist()
+        cut = np.flatnonzero(np.diff(sorted_ranks, prepend=-1)).tolist() + [len(positions)]
+        buckets = {int(sorted_ranks[a]): positions[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)}
+        token, waiting, after, before = ((array("i", x.tobytes()) if n > LONG else x.tolist()) for x in (self.single[data], ranks, after, before))
+        low, pairs, bit, top = self.low, self.pairs, _BIT, 0
+        for rank in buckets:
+            top |= 1 << (rank >> 8)
+            low[rank >> 8] |= bit[rank & 255]
+
         while top:
             word = (top & -top).bit_length() - 1
             held = low[word]
             first = held & -held
             rank = (word << 8) + first.bit_length() - 1
-            bucket = buckets[rank]
-            if len(bucket) == 1:
-                i = bucket[0]
-                del buckets[rank]
-                low[word] = held = held ^ first
-                if not held:
-                    top &= top - 1
-            else:
-                i = heapq.heappop(bucket)
-            if waiting[i] != rank:
-                continue
-            gone = after[i]
-            end = after[gone]
-            waiting[gone] = -1
-            after[i], before[end] = end, i
-            token[i] = rank
-            left = before[i]
-            for at, pair in ((i, pairs[rank << 20 | token[end]] if end < n else -1), (left, pairs[token[left] << 20 | rank] if left >= 0 else -1)):
-                if at >= 0:
-                    waiting[at] = pair
-                if pair >= 0:
-                    bucket = buckets.get(pair)
-                    if bucket is None:
-                        buckets[pair] = [at]
-                        word = pair >> 8
-                        top |= bit[word] if word < 256 else 1 << word
-                        low[word] |= bit[pair & 255]
-                    else:
-                        heapq.heappush(bucket, at)
-        out, i = [], 0
-        while i < n:
-            out.append(token[i])
-            i = after[i]
-        return out
-
-
-class _Known(dict):
-    """Span of each known chunk's ids in a pool; a new chunk is encoded when first asked for."""
+            bucket = buckets.pop(rank)
+            low[word] = held = held ^ first
+            if not held:
+                top &= top - 1
+            bucket.sort()
+            for done, i in enumerate(bucket, 1):
+                if waiting[i] != rank:
+                    continue
+                gone = after[i]
+                end = after[gone]
+                waiting[gone] = token[gone] = -1
+                after[i], token[i] = end, rank
+                lowest = rank
+                if end >= 0:
+                    before[end] = i
+                    waiting[i] = pair = pairs[rank << 20 | token[end]]
+                    if pair >= 0:
+                        if pair in buckets:
+                            buckets[pair].append(i)
+                        else:
+                            buckets[pair] = [i]
+                            word = pair >> 8
+                            top |= bit[word] if word < 256 else 1 << word
+                            low[word] |= bit[pair & 255]
+                        if pair < lowest:
+                            lowest = pair
+                else:
+                    waiting[i] = -1
+                left = before[i]
+                if left >= 0:
+                    waiting[left] = pair = pairs[token[left] << 20 | rank]
+                    if pair >= 0:
+                        if pair in buckets:
+                            buckets[pair].append(left)
+                        else:
+                            buckets[pair] = [left]
+                            word = pair >> 8
+                            top |= bit[word] if word < 256 else 1 << word
+                            low[word] |= bit[pair & 255]
+                        if pair < lowest:
+                            lowest = pair
+                if lowest < rank and done < len(bucket):  # a lower rank goes first; the rest waits on
+                    buckets[rank] = bucket[done:]
+                    top |= 1 << (rank >> 8)
+                    low[rank >> 8] |= bit[rank & 255]
+                    break
+        token = np.array(token, np.int32)
+        stays = token >= 0
+        ids, ends = token[stays].tolist(), np.cumsum(stays)[stop - 1].tolist()
+        at = 0
+        for k, end in zip(run, ends, strict=True):
+            out[k] = ids[at:end]
+            at = end
+
+
+class _Known:
+    """Spans of known chunks' ids in a pool. New chunks are encoded together."""
 
     def __init__(self, ranks, pattern):
-        self.merge = Merger(ranks).merge
+        self.merge_all = Merger(ranks).merge_all
         self.findall = regex.compile(pattern.replace(r"\S", f"[^{SPACE}]").replace(r"[^\s", f"[^{SPACE}").replace(r"\s", f"[{SPACE}]")).findall
         self.forget()
 
     def forget(self):
-        self.clear()
-        self.pool, self.used, self.spans = np.zeros(1 << 16, np.int32), 0, [0]
-
-    def __missing__(self, chunk):
-        ids = []
-        for piece in self.findall(chunk):
-            ids += self.merge(piece.encode())
-        while self.used + len(ids) > len(self.pool):
-            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
-        self.pool[self.used : self.used + len(ids)] = ids
-        self.used += len(ids)
-        self.spans.append(self.used)
-        self[chunk] = at = len(self.spans) - 2
-        return at
+        self.chunks, self.pieces = {}, {}
+        self.pool, self.ends = np.zeros(0, np.int32), np.zeros(1, np.int64)
+
+    def learn(self, chunks):
+        """Encode those of `chunks` that are new."""
+        new = [x for x in dict.fromkeys(chunks) if x not in self.chunks]
+        if not new:
+            return
+        split = list(map(self.findall, new))
+        pieces = [x for x in dict.fromkeys(chain.from_iterable(split)) if x not in self.pieces]
+        self.pieces.update(zip(pieces, self.merge_all([x.encode() for x in pieces]), strict=True))
+        ids = [list(chain.from_iterable(map(self.pieces.__getitem__, x))) for x in split]
+        self.chunks.update(zip(new, range(len(self.chunks), len(self.chunks) + len(new)), strict=True))
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(sizes)])
+        self.pool = np.concatenate([self.pool, np.fromiter(chain.from_iterable(ids), np.int32, int(sizes.sum()))])
+
+    def encode(self, texts):
+        """Ids of all texts laid end to end, and the number of each text's ids."""
+        split = list(map(CHUNKS.findall, texts))
+        chunks = list(chain.from_iterable(split))
+        self.learn(chunks)
+        at = np.fromiter(map(self.chunks.__getitem__, chunks), np.int64, len(chunks))
+        start = self.ends[at]
+        sizes = self.ends[at + 1] - start
+        upto = np.concatenate([[0], np.cumsum(sizes)])
+        ids = self.pool[np.repeat(start - upto[:-1], sizes) + np.arange(upto[-1])]
+        return ids, np.diff(upto[np.concatenate([[0], np.cumsum(list(map(len, split)))]).astype(np.int64)])
 
 
 #: Runs of non-space with one space before them. The pattern never matches across their borders, so a
@@ -150,30 +207,38 @@ class _Known(dict):
 CHUNKS = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 
 
+def _groups(texts, limit):
+    """Consecutive texts of about `limit` characters together; null is empty."""
+    group, size = [], 0
+    for text in texts:
+        text = text.as_py() or ""
+        group.append(text)
+        size += len(text)
+        if size > limit:
+            yield group
+            group, size = [], 0
+    if group:
+        yield group
+
+
 def _encode(raw, pattern, held):
     def rows(batches):
         known = _Known(read_ranks(raw.value), pattern)
-        for batch in batches:
-            ids, texts = batch.column("doc_id"), batch.column("text")
-            flat, lengths = [], []
-            for text in texts:
-                spans = list(map(known.__getitem__, CHUNKS.findall(text.as_py() or "")))
-                ends = np.array(known.spans, np.int64) if len(spans) > 4096 else None
-                at = np.array(spans, np.int64)
-                if ends is not None:
-                    a, b = ends[at], ends[at + 1]
-                else:
-                    a = np.array([known.spans[i] for i in spans], np.int64)
-                    b = np.array([known.spans[i + 1] for i in spans], np.int64)
-                size = b - a
-                total = int(size.sum())
-                flat.append(known.pool[np.repeat(a - (np.cumsum(size) - size), size) + np.arange(total)])
-                lengths.append(total)
-                if len(known) > held:
-                    known.forget()
-            offsets = pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32())
-            column = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(flat) if flat else np.zeros(0, np.int32), pa.int32()))
-            yield pa.RecordBatch.from_arrays([ids, column], ["doc_id", "ids"])
+        gc.disable()  # many small lists and no cycles: the collector would only walk them
+        try:
+            for batch in batches:
+                flat, lengths = [np.zeros(0, np.int32)], [np.zeros(1, np.int64)]
+                for texts in _groups(batch.column("text"), 1 << 22):
+                    ids, sizes = known.encode(texts)
+                    flat.append(ids)
+                    lengths.append(sizes)
+                    if len(known.chunks) > held:
+                        known.forget()
+                offsets = pa.array(np.cumsum(np.concatenate(lengths)), pa.int32())
+                column = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(flat), pa.int32()))
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), column], ["doc_id", "ids"])
+        finally:
+            gc.enable()
 
     return rows
 
@@ -199,7 +264,7 @@ def _decode(raw):
     return rows
 
 
-def encode(docs: DataFrame, rank_file: str, pattern: str, held: int = 200_000) -> DataFrame:
+def encode(docs: DataFrame, rank_file: str, pattern: str, held: int = 400_000) -> DataFrame:
     """docs (doc_id, text) -> doc_id, ids array<int>, one row per row.
 
     Each match of `pattern` is encoded separately: the lowest rank merges first, the leftmost of
