@@ -13,7 +13,7 @@ import base64
 import gc
 import re
 from array import array
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -47,7 +47,7 @@ class _Pairs(dict):
 _BIT = [1 << i for i in range(256)]
 #: Bytes of pre-tokens merged together: they share one rank queue, so a rank comes up once for all of them. So few
 #: stay in the processor's cache. A longer pre-token is a run of its own; beyond LONG it is held in packed arrays.
-RUN, LONG = 1 << 14, 1 << 18
+RUN, LONG = 1 << 15, 1 << 18
 
 
 class Merger:
@@ -65,26 +65,33 @@ class Merger:
         self.low = [0] * (max(ranks.values(), default=0) // 256 + 1)
 
     def merge(self, piece: bytes) -> list[int]:
-        return self.merge_all([piece])[0]
-
-    def merge_all(self, pieces: list[bytes]) -> list[list[int]]:
-        """The ids of each piece."""
-        out = [[rank] if (rank := self.ranks.get(piece)) is not None else [] for piece in pieces]
-        run, size = [], 0
-        for k, piece in enumerate(pieces):
-            if piece and not out[k]:
-                run.append(k)
-                size += len(piece)
-                if size > RUN:
-                    self._merge_run(pieces, run, out)
-                    run, size = [], 0
-        if run:
-            self._merge_run(pieces, run, out)
-        return out
-
-    def _merge_run(self, pieces, run, out):
-        data = np.frombuffer(b"".join([pieces[k] for k in run]), np.uint8)
-        stop = np.cumsum([len(pieces[k]) for k in run])
+        return self.merge_all([piece])[0].tolist()
+
+    def merge_all(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all pieces laid end to end, and the number of each piece's ids."""
+        whole = np.fromiter(map(self.ranks.get, pieces, repeat(-1)), np.int32, len(pieces))
+        length = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        rest = np.flatnonzero((whole < 0) & (length > 0))
+        upto = np.concatenate([[0], np.cumsum(length[rest])])
+        merged, sizes, a = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)], 0
+        while a < len(rest):
+            b = max(a + 1, int(np.searchsorted(upto, upto[a] + RUN, "right")) - 1)
+            ids, n = self._merge_run(b"".join([pieces[k] for k in rest[a:b].tolist()]), upto[a + 1 : b + 1] - upto[a])
+            merged.append(ids)
+            sizes.append(n)
+            a = b
+        known, sizes = np.flatnonzero(whole >= 0), np.concatenate(sizes)
+        count = (whole >= 0).astype(np.int64)
+        count[rest] = sizes
+        start = np.cumsum(count) - count
+        out = np.zeros(int(count.sum()), np.int32)
+        out[start[known]] = whole[known]
+        out[np.repeat(start[rest] - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))] = np.concatenate(merged)
+        return out, count
+
+    def _merge_run(self, data: bytes, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the pre-tokens that end at `stop`, and how many each has."""
+        data = np.frombuffer(data, np.uint8)
         n, start = len(data), np.concatenate([[0], stop[:-1]])
         ranks = np.full(n, -1, np.int32)
         ranks[:-1] = self.double[data[:-1].astype(np.int32) << 8 | data[1:]]
@@ -112,7 +119,8 @@ class Merger:
             low[word] = held = held ^ first
             if not held:
                 top &= top - 1
-            bucket.sort()
+            if len(bucket) > 1:
+                bucket.sort()
             for done, i in enumerate(bucket, 1):
                 if waiting[i] != rank:
                     continue
@@ -156,15 +164,19 @@ class Merger:
                     break
         token = np.array(token, np.int32)
         stays = token >= 0
-        ids, ends = token[stays].tolist(), np.cumsum(stays)[stop - 1].tolist()
-        at = 0
-        for k, end in zip(run, ends, strict=True):
-            out[k] = ids[at:end]
-            at = end
+        return token[stays], np.diff(np.cumsum(stays)[stop - 1], prepend=0)
+
+
+def _take(pool, ends, at):
+    """Spans `at` of a pool laid end to end, and where each begins (and the last one ends)."""
+    start = ends[at]
+    sizes = ends[at + 1] - start
+    upto = np.concatenate([[0], np.cumsum(sizes)])
+    return pool[np.repeat(start - upto[:-1], sizes) + np.arange(upto[-1])], upto
 
 
 class _Known:
-    """Spans of known chunks' ids in a pool. New chunks are encoded together."""
+    """Spans of known chunks' ids in a pool, and of known pre-tokens' in another. New chunks are encoded together."""
 
     def __init__(self, ranks, pattern):
         self.merge_all = Merger(ranks).merge_all
@@ -174,6 +186,7 @@ class _Known:
     def forget(self):
         self.chunks, self.pieces = {}, {}
         self.pool, self.ends = np.zeros(0, np.int32), np.zeros(1, np.int64)
+        self.piece_pool, self.piece_ends = self.pool, self.ends
 
     def learn(self, chunks):
         """Encode those of `chunks` that are new."""
@@ -181,24 +194,23 @@ class _Known:
         if not new:
             return
         split = list(map(self.findall, new))
-        pieces = [x for x in dict.fromkeys(chain.from_iterable(split)) if x not in self.pieces]
-        self.pieces.update(zip(pieces, self.merge_all([x.encode() for x in pieces]), strict=True))
-        ids = [list(chain.from_iterable(map(self.pieces.__getitem__, x))) for x in split]
+        parts = list(chain.from_iterable(split))
+        fresh = [x for x in dict.fromkeys(parts) if x not in self.pieces]
+        ids, sizes = self.merge_all([x.encode() for x in fresh])
+        self.pieces.update(zip(fresh, range(len(self.pieces), len(self.pieces) + len(fresh)), strict=True))
+        self.piece_pool = np.concatenate([self.piece_pool, ids])
+        self.piece_ends = np.concatenate([self.piece_ends, self.piece_ends[-1] + np.cumsum(sizes)])
+        ids, upto = _take(self.piece_pool, self.piece_ends, np.fromiter(map(self.pieces.__getitem__, parts), np.int64, len(parts)))
         self.chunks.update(zip(new, range(len(self.chunks), len(self.chunks) + len(new)), strict=True))
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(sizes)])
-        self.pool = np.concatenate([self.pool, np.fromiter(chain.from_iterable(ids), np.int32, int(sizes.sum()))])
+        self.ends = np.concatenate([self.ends, self.ends[-1] + upto[np.cumsum(np.fromiter(map(len, split), np.int64, len(split)))]])
+        self.pool = np.concatenate([self.pool, ids])
 
     def encode(self, texts):
         """Ids of all texts laid end to end, and the number of each text's ids."""
         split = list(map(CHUNKS.findall, texts))
         chunks = list(chain.from_iterable(split))
         self.learn(chunks)
-        at = np.fromiter(map(self.chunks.__getitem__, chunks), np.int64, len(chunks))
-        start = self.ends[at]
-        sizes = self.ends[at + 1] - start
-        upto = np.concatenate([[0], np.cumsum(sizes)])
-        ids = self.pool[np.repeat(start - upto[:-1], sizes) + np.arange(upto[-1])]
+        ids, upto = _take(self.pool, self.ends, np.fromiter(map(self.chunks.__getitem__, chunks), np.int64, len(chunks)))
         return ids, np.diff(upto[np.concatenate([[0], np.cumsum(list(map(len, split)))]).astype(np.int64)])
 
 
