@@ -11,6 +11,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -144,6 +145,20 @@ def test_lm(docs, none):
     assert lm.lm_scores(none, path, public_tokenizers.PATTERN).count() == 0
 
 
+def test_lm_counts_survive_a_flush_on_the_last_run(monkeypatch):
+    with open(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "rb") as f:
+        raw = type("Shared", (), {"value": f.read()})
+    batch = pa.RecordBatch.from_arrays([pa.array(["one two two", None, "three"])], ["text"])
+
+    def counted():
+        return {p: np.frombuffer(c, np.int64).sum() for b in lm._count_rows(raw, public_tokenizers.PATTERN)([batch]) for p, c in zip(b.column("p").to_pylist(), b.column("counts").to_pylist(), strict=True)}
+
+    whole = counted()
+    monkeypatch.setattr(lm, "_MERGE", 1)
+    monkeypatch.setattr(lm, "_FLUSH", 1)
+    assert counted() == whole and whole[lm.RANGES + 17] == 3
+
+
 def test_attention_is_causal_and_normalised():
     r = np.random.default_rng(0)
     table = r.normal(size=(50, lm.CLASSES)).astype(np.float32)
