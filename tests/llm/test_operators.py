@@ -227,6 +227,39 @@ def test_language(spark, docs, none):
     assert language.identify(language.document_evidence(none), language.train(none)).count() == 0
 
 
+def _prose(words, n):
+    r = np.random.default_rng(4)
+    return [" ".join(r.choice(words.split(), 60)) for _ in range(n)]
+
+
+ITALIAN = "il gatto della nonna che dorme sulla sedia vicino alla finestra mentre piove nella strada degli amici con questo vento freddo"
+KNOWN = {
+    "en": "the cat of my grandmother that sleeps on a chair near the window while it rains in the street with this cold wind and other friends",
+    "fr": "le chat de la grand mère qui dort sur une chaise près des fenêtres pendant que la pluie tombe dans cette rue avec ses amis",
+    "it": ITALIAN,
+}
+
+
+def test_languages_are_those_of_the_labels(spark):
+    rows = [(x, words, lang) for lang, words in KNOWN.items() for x in _prose(words, 40)]
+    df = spark.createDataFrame([(i, t, "en" if i % 40 == 0 else lang, "s") for i, (t, _, lang) in enumerate(rows)], "doc_id long, text string, lang string, source string")
+    got = {r.id: r for r in language.identify(language.document_evidence(df), language.train(df)).collect()}
+    assert language.train(df).languages == ("en", "fr", "it")
+    assert all(got[i].lang == lang and got[i].accepted for i, (_, _, lang) in enumerate(rows))
+
+
+def test_foreign_and_garbled_texts_are_rejected(spark):
+    learn = [x for lang in ("en", "fr") for x in ((t, lang) for t in _prose(KNOWN[lang], 200))]
+    r = np.random.default_rng(6)
+    garbled = " ".join("".join(r.choice(list("abcdefghijklmnopqrstuvwxyz"), 7)) for _ in range(60))
+    odd = [(_prose(ITALIAN, 1)[0], "it"), ("η γάτα της γιαγιάς κοιμάται στην καρέκλα " * 5, "el"), (garbled, "en"), (garbled, None)]
+    df = spark.createDataFrame([(i, t, lang, "s") for i, (t, lang) in enumerate([*learn, *odd])], "doc_id long, text string, lang string, source string")
+    got = {r.id: r for r in language.identify(language.document_evidence(df), language.train(df)).collect()}
+    assert all(got[i].accepted and got[i].lang == lang for i, (_, lang) in enumerate(learn))
+    assert [got[len(learn) + i].accepted for i in range(len(odd))] == [False] * len(odd)
+    assert language.identify(language.document_evidence(df), language.train(df.limit(0))).filter("accepted").count() == 0
+
+
 def test_sharding(docs, none):
     rows = sharding.vector_shards(docs, shards=4).collect()
     assert sorted(r.size for r in rows) == sorted(len((t or "").encode()) + 16 for _, t, *_ in ROWS)
