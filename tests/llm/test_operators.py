@@ -159,6 +159,23 @@ def test_lm_counts_survive_a_flush_on_the_last_run(monkeypatch):
     assert counted() == whole and whole[lm.RANGES + 17] == 3
 
 
+def test_attention_head_learns_from_every_training_text(spark, monkeypatch):
+    def numbers(raw, pattern, shared):  # sets the weight that the text names to 2
+        def rows(batches):
+            for b in batches:
+                named = [int(t) for t in b.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array(named, pa.int64()), pa.array([4.0] * len(named)), pa.array([2.0] * len(named))], ["i", "v", "n"])
+
+        return rows
+
+    weights, score = [], lm._score_rows
+    monkeypatch.setattr(lm, "_train_rows", numbers)
+    monkeypatch.setattr(lm, "_score_rows", lambda raw, pattern, shared: weights.append(shared.value[4]) or score(raw, pattern, shared))
+    df = spark.createDataFrame([(i, str(i)) for i in range(100)], "doc_id long, text string")
+    lm.lm_scores(df, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    assert set(np.flatnonzero(weights[0] == 2)) == {i for i in range(100) if zlib.crc32(str(i).encode()) % 7 != 2}
+
+
 def test_attention_is_causal_and_normalised():
     r = np.random.default_rng(0)
     table = r.normal(size=(50, lm.CLASSES)).astype(np.float32)
