@@ -1,7 +1,7 @@
 """The corpus pipeline: stages applied to the documents table one after another.
 
-A doc_id names one document. Rows that share an id stay if any of them is accepted; all stages work
-on every row that the stage before kept.
+A doc_id names one document. Rows that share an id stay if any of them is accepted, but near duplicates
+are told apart by id and text; all stages work on every row that the stage before kept.
 """
 
 from __future__ import annotations
@@ -45,14 +45,20 @@ def quality_stage(spark, docs, sf_dir):
 
 
 def near_duplicate_stage(spark, docs, sf_dir):
-    """The smallest doc_id of each component stays, once."""
-    joined = keep(ngram_jaccard_join(docs), "components")
-    kept = _without(docs, joined.filter("not (doc_id <=> component_id)").distinct())
+    """One row of each component stays: one with the smallest doc_id, a null id being larger than any other.
+    Rows are told apart by id and text, so neither an id on two texts nor a null id ties them together."""
+    keyed = docs.withColumn("row_key", F.xxhash64(F.col("doc_id").isNull(), "doc_id", "text"))
+    joined = keep(ngram_jaccard_join(keyed.select(F.col("row_key").alias("doc_id"), "text")), "components")
+    ids = keyed.select(F.col("row_key").alias("key"), F.col("doc_id").alias("id")).distinct()
+    parts = joined.select(F.col("doc_id").alias("of"), "component_id").distinct()
+    first = ids.join(parts, F.col("key") == F.col("of")).groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("first"))
+    first = keep(first.select(F.col("first.key").alias("first")), "first")
+    kept = keyed.join(first, F.col("row_key") == F.col("first"), "left_semi")
     again = keep(joined.groupBy(F.col("doc_id").alias("again")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("again"), "again")
     if again.isEmpty():
-        return kept
-    twice = F.col("doc_id").eqNullSafe(F.col("again"))
-    return kept.join(again, twice, "left_anti").union(kept.join(again, twice, "left_semi").dropDuplicates(["doc_id", "text"]))
+        return kept.select(*docs.columns)
+    twice = F.col("row_key") == F.col("again")
+    return kept.join(again, twice, "left_anti").union(kept.join(again, twice, "left_semi").dropDuplicates(["row_key"])).select(*docs.columns)
 
 
 def mixing_stage(spark, docs, sf_dir):
