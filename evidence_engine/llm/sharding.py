@@ -1,53 +1,70 @@
 """Sharding by vector bin packing: bytes, tokens and rows of the shards are balanced jointly.
 
-Equal texts form a group that stays in one shard. Small groups are gathered into a fixed number of
-bundles by hash, so what the driver places is bounded whatever the input; a group of more than an
-eighth of a shard is placed in pieces. Items go, largest first, where the dot product of their vector
-with the shard's residual capacity is highest.
+Equal texts form a group, and a group is what is placed: where the dot product of its vector with the
+shard's residual capacity is highest. Heavy groups, those of more than 1/64 of a shard in some measure, are few
+whatever the input; the driver places them first, largest first. What they leave of each shard is then
+shared out to buckets of the other groups in proportion to the buckets' sums, and each bucket is packed by
+its own task in the same way. A bucket's shards end level to within about its smallest groups, so the
+whole ends level too, and no group that fits a shard is ever cut.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import keep, plain
 
-#: Bundles a shard: the driver places shards * BUNDLES bundles and at most 24 * PIECES * shards pieces.
-BUNDLES, PIECES = 256, 8
+#: A group of more than 1 / HEAVY of a shard is placed by the driver: at most 3 * HEAVY * shards groups. One that
+#: fits no shard is cut into pieces of about 1 / PIECES of a shard: at most 6 * PIECES * shards pieces.
+HEAVY, PIECES = 64, 8
+#: Groups that one task packs, about.
+BUCKET = 20_000
 #: Weight of bytes, tokens and rows in the dot product. Bytes is the law that must hold closely.
-WEIGHTS = (1.0, 0.1, 0.1)
-
-
-def place(items: list[tuple[int, float, float, float]], shards: int) -> list[tuple[int, int]]:
-    """(item, vector...) -> (item, shard): largest first, each where the dot product of its vector with
-    the residual capacity is highest among the shards that it fits; if it fits none, among all."""
-    if not items:
-        return []
-    keys = [int(x[0]) for x in items]
-    vectors = np.array([x[1:] for x in items], dtype=np.float64)
-    total = vectors.sum(axis=0)
-    vectors = vectors / np.where(total > 0, total, 1) * shards
-    left = np.ones((shards, vectors.shape[1]))
-    weights, out = np.array(WEIGHTS), []
-    for i in sorted(range(len(keys)), key=lambda i: (-vectors[i].max(), keys[i])):
-        score = left @ (vectors[i] * weights)
-        fits = (left >= vectors[i]).all(axis=1)
-        best = int(np.argmax(np.where(fits, score, -np.inf) if fits.any() else score))
-        left[best] -= vectors[i]
-        out.append((keys[i], best))
+WEIGHTS = np.array([1.0, 0.1, 0.1])
+
+
+def place(vectors: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """The shard of each vector: in the order given, each goes where the dot product of its vector with the
+    residual capacity `left` (shards x measures) is highest among the shards that it fits; if it fits none,
+    among all. `left` is reduced in place. Ties go to the lower shard."""
+    out = np.zeros(len(vectors), np.int64)
+    weighed = vectors * WEIGHTS
+    for i, v in enumerate(vectors):
+        score = left @ weighed[i]
+        fits = (left >= v).all(axis=1)
+        out[i] = best = int(np.argmax(np.where(fits, score, -np.inf) if fits.any() else score))
+        left[best] -= v
     return out
 
 
+def _largest_first(frame: pd.DataFrame, share: np.ndarray) -> tuple[pd.DataFrame, np.ndarray]:
+    vectors = frame[["bytes", "tokens", "rows"]].to_numpy(np.float64) / share
+    order = np.lexsort([*(frame[c].to_numpy() for c in ("piece", "h2", "h1")), -vectors.max(axis=1)])
+    return frame.iloc[order], vectors[order]
+
+
+def _pack(share, left, total):
+    """Packs one bucket's groups into its part of every shard's residual capacity."""
+
+    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf, vectors = _largest_first(pdf, share)
+        part = vectors.sum(axis=0) / np.where(total > 0, total, 1)
+        return pd.DataFrame({"h1": pdf["h1"], "h2": pdf["h2"], "shard": place(vectors, left * part).astype(np.int32)})
+
+    return pack
+
+
 def vector_shards(docs: DataFrame, shards: int = 40) -> DataFrame:
-    """docs (doc_id, text) -> one row per row: doc_id, size, text_crc32, law, shard, slot, grown_shard.
+    """docs (doc_id, text) -> one row per row: doc_id, size, text_crc32, law, shard, slot, grown_shard, tokens.
 
-    Size: UTF-8 bytes of the text (null: none) plus 16. law is 'bytes': the shards' sizes are near
-    equal, as near as single documents allow. Equal texts share a shard unless their group exceeds an
-    eighth of a shard in bytes, tokens or rows; its pieces then go by doc_id. slot counts a shard's rows
-    from 0 without gaps. grown_shard is null: only the law 'key' has one. Reruns agree, whatever the
-    partitions. Null texts count as empty; repeated rows and null ids are placed like others; an empty
+    Size: UTF-8 bytes of the text (null: none) plus 16. law is 'bytes': the shards' sizes are near equal, as near as
+    whole groups allow. Equal texts share a shard; only a group of more bytes, tokens or rows than a whole
+    shard's share is cut, by doc_id. slot counts a shard's rows from 0 without gaps. grown_shard is null: only
+    the law 'key' has one. Reruns agree, whatever the partitions; groups of equal size go in the order of their
+    hashes. Null texts count as empty; repeated rows and null ids are placed like others; an empty
     table gives an empty result; extra columns are ignored.
     """
     spark = docs.sparkSession
@@ -61,20 +78,36 @@ def vector_shards(docs: DataFrame, shards: int = 40) -> DataFrame:
         F.xxhash64(F.lit("second"), text).alias("h2"),
     )
     base = keep(base, "sizes")
-    groups = keep(base.groupBy("h1", "h2").agg(F.sum("size").alias("bytes"), F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("rows")), "groups")
-    total = groups.agg(F.sum("bytes"), F.sum("tokens"), F.sum("rows")).first()
-    share = [max(1, x or 0) / shards for x in total]
-    most = F.greatest(F.col("bytes") / share[0], F.col("tokens") / share[1], F.col("rows") / share[2])
-    bundles, most_pieces = shards * BUNDLES, shards * PIECES
-    # Over 1/PIECES of a shard in one of three measures: at most 3 * PIECES * shards groups.
-    heavy = groups.filter((most > 1 / PIECES) & (F.col("rows") > 1)).select("h1", "h2", F.ceil(most * PIECES).alias("pieces"))
-    heavy = heavy.select(F.col("h1").alias("g1"), F.col("h2").alias("g2"), "pieces", F.row_number().over(Window.orderBy("h1", "h2")).alias("nth"))
-    item = F.when(F.col("nth").isNull(), F.pmod("h1", F.lit(bundles))).otherwise(bundles + F.col("nth") * most_pieces + F.pmod(F.xxhash64("doc_id"), "pieces"))
-    marked = base.join(F.broadcast(heavy), (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2")), "left").select("doc_id", "size", "text_crc32", "tokens", "h1", item.alias("item"))
-    sums = marked.groupBy("item").agg(F.sum("size"), F.sum("tokens"), F.count(F.lit(1))).collect()  # bounded: bundles and pieces
-    placed = spark.createDataFrame(place([tuple(r) for r in sums], shards) or [(0, 0)], "placed long, shard int")
-    out = marked.join(F.broadcast(placed), F.col("item") == F.col("placed")).select("doc_id", "size", "text_crc32", "tokens", "h1", "shard")
-    return _with_slots(keep(out, "placed"), shards, total[2] or 0)
+    sums = [F.sum("size").alias("bytes"), F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("rows")]
+    groups = keep(base.groupBy("h1", "h2").agg(*sums), "groups")
+    n, *total = groups.agg(F.count(F.lit(1)), F.sum("bytes"), F.sum("tokens"), F.sum("rows")).first()
+    share = np.array([max(1, x or 0) / shards for x in total])
+    most = F.greatest(*[F.col(c) / float(x) for c, x in zip(("bytes", "tokens", "rows"), share, strict=True)])
+    heavy = keep(groups.withColumn("most", most).filter(F.col("most") > 1 / HEAVY).withColumn("pieces", F.when((F.col("most") > 1) & (F.col("rows") > 1), F.ceil(F.col("most") * PIECES)).otherwise(1)), "heavy")
+    of_heavy = heavy.select(F.col("h1").alias("g1"), F.col("h2").alias("g2"), "pieces")
+    same = (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2"))
+    marked = base.join(F.broadcast(of_heavy), same, "left").drop("g1", "g2")  # at most 3 * HEAVY * shards rows
+    marked = marked.withColumn("piece", F.when(F.col("pieces") > 1, F.pmod(F.xxhash64("doc_id"), "pieces")).otherwise(F.lit(0)).cast("long"))
+
+    whole = heavy.filter("pieces = 1").select("h1", "h2", F.lit(0).cast("long").alias("piece"), "bytes", "tokens", "rows")
+    cut = marked.filter("pieces > 1").groupBy("h1", "h2", "piece").agg(*sums)
+    first = whole.unionByName(cut).toPandas()  # bounded as said at HEAVY and PIECES
+    left = np.ones((shards, 3))
+    first, vectors = _largest_first(first, share)
+    at = place(vectors, left)
+    rows = [(int(a), int(b), int(p), int(s)) for a, b, p, s in zip(first["h1"], first["h2"], first["piece"], at, strict=True)]
+    placed_first = spark.createDataFrame(rows, "k1 long, k2 long, p long, shard int")
+
+    light = groups.join(F.broadcast(of_heavy), same, "left_anti").withColumn("piece", F.lit(0).cast("long"))
+    rest = (np.array([float(x or 0) for x in total]) / share) - vectors.sum(axis=0)
+    buckets = max(1, -(-n // BUCKET))
+    placed = light.withColumn("bucket", F.pmod("h1", F.lit(buckets))).groupBy("bucket").applyInPandas(_pack(share, left, rest), "h1 long, h2 long, shard int")
+    placed = placed.select(F.col("h1").alias("k1"), F.col("h2").alias("k2"), "shard")
+    columns = ["doc_id", "size", "text_crc32", "tokens", "h1", "shard"]
+    here = (F.col("h1") == F.col("k1")) & (F.col("h2") == F.col("k2"))
+    big = marked.filter("pieces is not null").join(F.broadcast(placed_first), here & (F.col("piece") == F.col("p"))).select(*columns)
+    small = marked.filter("pieces is null").join(placed, here).select(*columns)
+    return _with_slots(keep(big.unionByName(small), "placed"), shards, total[2] or 0)
 
 
 def _with_slots(rows: DataFrame, shards: int, n: int) -> DataFrame:
