@@ -1,7 +1,8 @@
 """License scans: an exact set-similarity join of text blocks and license templates.
 
-Words are cut into blocks of 64 that start every 32 words, so any run of up to 32 words lies whole in
-some block. A template matches a block that holds at least the threshold share of its distinct words.
+Words are cut into blocks whose length follows the template: at least twice its words, rounded up to a power
+of 2, starting every half block, so a notice of any length lies whole in some block. A template matches a block
+that holds at least the threshold share of its distinct words.
 Tokens are ordered by their frequency over all documents, rarest first; a match must hold one of a
 template's first n - ceil(t * n) + 1 tokens (prefix filter), enough tokens at all (length filter) and
 enough behind the first common one (positional filter). Only blocks with a prefix token are looked
@@ -34,7 +35,8 @@ NOTICES = {
     "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met": "bsd",
     "this source code form is subject to the terms of the mozilla public license v 2 0": "mpl",
 }
-BLOCK, STRIDE = 64, 32
+#: The shortest stride; a template of more words has the next power of 2, and blocks are two strides long.
+STRIDE = 32
 
 
 class _Templates:
@@ -49,22 +51,23 @@ class _Templates:
         self.items = [(label, sorted({ids[w] for w in text.split()}), threshold) for text, label, threshold in templates]
         self.spoken = [[ids[w] for w in text.split()] for text, _, _ in templates]
         self.need = [math.ceil(threshold * len(own) - 1e-9) for _, own, threshold in self.items]
-        self.prefix: dict[int, list[int]] = {}
+        #: By stride: the templates of each prefix token, and which tokens are prefix tokens.
+        self.prefix: dict[int, dict[int, list[int]]] = {}
         for t, (_, own, _) in enumerate(self.items):
+            stride = max(STRIDE, 1 << max(0, len(self.spoken[t]) - 1).bit_length())
             for token in own[: len(own) - self.need[t] + 1]:
-                self.prefix.setdefault(token, []).append(t)
-        self.rare = np.zeros(len(tokens), dtype=bool)
-        self.rare[list(self.prefix)] = True
+                self.prefix.setdefault(stride, {}).setdefault(token, []).append(t)
+        self.rare = {stride: np.isin(np.arange(len(tokens)), list(prefix)) for stride, prefix in self.prefix.items()}
 
     def lookup(self, hashes: np.ndarray) -> np.ndarray:
         """Token id of each hash, -1 for words of no template."""
         at = np.minimum(np.searchsorted(self.sorted, hashes), len(self.sorted) - 1)
         return np.where(self.sorted[at] == hashes, self.order[at], -1)
 
-    def matches(self, block: list[int]):
-        """(template, containment) of the templates that a block's sorted distinct tokens meet."""
-        place = {token: i for i, token in enumerate(block)}
-        for t in sorted({t for token in block for t in self.prefix.get(token, ())}):
+    def matches(self, block: list[int], stride: int):
+        """(template, containment) of the templates of a stride that a block's sorted distinct tokens meet."""
+        place, prefix = {token: i for i, token in enumerate(block)}, self.prefix[stride]
+        for t in sorted({t for token in block for t in prefix.get(token, ())}):
             own, need = self.items[t][1], self.need[t]
             if len(block) < need:
                 continue
@@ -109,20 +112,21 @@ def _scan(templates, counts):
                 hits = np.flatnonzero(token >= 0)
                 text = np.searchsorted(first, hits, "right") - 1
                 position = hits - first[text]
-                rare = known.rare[token[hits]]
-                block = position[rare] // STRIDE
-                some = np.unique(np.concatenate([np.stack([text[rare], block], 1), np.stack([text[rare], np.maximum(block - 1, 0)], 1)]), axis=0) if rare.any() else []
-                for d, b in (x.tolist() for x in some):
-                    lo, hi = np.searchsorted(hits, [first[d] + b * STRIDE, min(first[d] + b * STRIDE + BLOCK, first[d + 1])])
-                    inside = token[hits[lo:hi]]
-                    for t, share in known.matches(np.unique(inside).tolist()):
-                        if t not in phrases:
-                            found[row + d].append((b * STRIDE, t, share))
-                            continue
-                        spoken = known.spoken[t]
-                        for i in range(lo, hi - len(spoken) + 1):
-                            if token[hits[i] : hits[i] + len(spoken)].tolist() == spoken and hits[i] + len(spoken) <= first[d + 1]:
-                                places[row + d].append((int(position[i]), t))
+                for stride, is_rare in known.rare.items():
+                    rare = is_rare[token[hits]]
+                    block = position[rare] // stride
+                    some = np.unique(np.concatenate([np.stack([text[rare], block], 1), np.stack([text[rare], np.maximum(block - 1, 0)], 1)]), axis=0)
+                    for d, b in some.tolist():
+                        lo, hi = np.searchsorted(hits, [first[d] + b * stride, min(first[d] + (b + 2) * stride, first[d + 1])])
+                        inside = token[hits[lo:hi]]
+                        for t, share in known.matches(np.unique(inside).tolist(), stride):
+                            if t not in phrases:
+                                found[row + d].append((b * stride, t, share))
+                                continue
+                            spoken = known.spoken[t]
+                            for i in range(lo, hi - len(spoken) + 1):
+                                if token[hits[i] : hits[i] + len(spoken)].tolist() == spoken and hits[i] + len(spoken) <= first[d + 1]:
+                                    places[row + d].append((int(position[i]), t))
             blocks = [sorted(set(x)) for x in found]
             places = [sorted(set(x)) for x in places]
             kind = pa.list_(pa.struct([("word", pa.int64()), ("label", pa.string()), ("share", pa.float64())]))
@@ -139,7 +143,7 @@ def license_scan(docs: DataFrame, threshold: float = 0.8, phrases: dict | None =
 
     Words are ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` of the text with A-Z lower-cased. places: where a phrase's
     words stand consecutively (word from 0, label, share 1). blocks: the blocks (their first word) that
-    hold at least `threshold` of a notice's distinct words, with the share. Null and empty texts: no
+    hold at least `threshold` of a notice's distinct words, with the share; templates may have any length. Null and empty texts: no
     words, empty lists. Rows may repeat, doc_id may be null, an empty table gives an empty result, other
     columns are ignored. Tokens of equal frequency are ordered by code point.
     """
