@@ -5,8 +5,12 @@ fractional parts are rounded dependently: two documents meet, and mass in words
 one to the other until one of them is integral. Expectations stay what they were and the source's
 words stay on target throughout. A block of some tens of documents is folded at a time and leaves one
 fractional document; these meet in the next level of a reduction tree, up to one for a source, which
-is rounded by its own probability. What that last rounding leaves over or short, at most one
-document's words, is made good by flipping a few small documents of the source.
+is rounded by its own probability.
+
+What that last rounding leaves over or short is up to one document's words. So the larger documents of a source
+are rounded first, and what they leave over or short is spread evenly over the probabilities of the smaller ones before
+those are rounded, in three steps. A source ends within about one of its smallest documents of its
+target, and as what is spread is zero on average, no document's expected number of copies moves.
 """
 
 from __future__ import annotations
@@ -17,24 +21,45 @@ from pyspark.sql import functions as F
 from .common import keep, plain
 
 FAN_IN = 32
-#: About so many documents of a source may be flipped to make good the last rounding.
-REPAIR = 128
-
-
-def _source_targets(sizes: DataFrame, weights: tuple[int, ...], most: int) -> DataFrame:
-    """(source, source_size, target, p): targets share all words by weight; a target stops at `most`
-    times its source's size and the excess is shared again. That is min(cap, level * weight) for one
-    level, found where caps in order of cap / weight stop binding."""
-    w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (F.pmod(F.row_number().over(Window.orderBy(F.col("source").isNull(), "source")) - 1, F.lit(len(weights))) + 1).cast("int"))
-    s = sizes.groupBy("source").agg(F.sum("size").alias("source_size")).withColumn("w", w).withColumn("cap", F.col("source_size").cast("double") * most)
-    order = Window.orderBy(F.col("cap") / F.col("w"), F.col("source").isNull(), "source")
-    s = s.withColumn("caps", F.coalesce(F.sum("cap").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))).withColumn("ws", F.sum("w").over(order.rowsBetween(0, Window.unboundedFollowing)))
-    every = Window.partitionBy(F.lit(0))
-    s = s.withColumn("total", F.sum("source_size").over(every).cast("double")).withColumn("level", (F.col("total") - F.col("caps")) / F.col("ws"))
-    # The levels rise up to the first cap that doesn't bind and fall after it.
-    level = F.max("level").over(every)
-    s = s.withColumn("target", F.least("cap", F.coalesce(level, F.lit(0.0)) * F.col("w")))
-    return s.select("source", "source_size", "target", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0).alias("p"))
+#: Borders between the three steps of a source: quantiles of its documents' words.
+STEPS = (0.1, 0.5)
+
+
+def _numbered(sizes: DataFrame, weights: tuple[int, ...]) -> DataFrame:
+    """(source, source_size, w): the weight by the source's place in code point order, null last. The places come from a
+    range-partitioned sort and the sizes of its partitions, so the sources never meet in one task."""
+    per_source = keep(sizes.groupBy("source").agg(F.sum("size").alias("source_size")), "sources")
+    ordered = keep(per_source.orderBy(F.col("source").isNull(), "source").withColumn("place", F.monotonically_increasing_id()), "ordered")
+    part, inside = F.shiftright("place", 33), F.col("place").bitwiseAND(F.lit((1 << 33) - 1))
+    parts = ordered.groupBy(part.alias("of")).agg(F.count(F.lit(1)).alias("n"))  # a row a partition
+    before = parts.select("of", F.coalesce(F.sum("n").over(Window.orderBy("of").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (F.pmod(F.col("before") + inside, F.lit(len(weights))) + 1).cast("int"))
+    return keep(ordered.join(F.broadcast(before), part == F.col("of")).select("source", "source_size", w.alias("w")), "weights")
+
+
+def source_targets(sizes: DataFrame, weights: tuple[int, ...], most: int) -> DataFrame:
+    """(source, size) -> (source, source_size, target, p): targets share all words by weight; a target stops at `most`
+    times its source's size and the excess is shared again. That is min(cap, level * weight) for one level, which
+    rises from the uncapped one until it fits; sources once capped stay so."""
+    s = _numbered(sizes, weights)
+    cap = F.col("source_size").cast("double") * most
+    total = float(s.agg(F.sum("source_size")).first()[0] or 0)
+    level = 0.0
+    while True:
+        capped = cap <= F.lit(level) * F.col("w")
+        caps, open_w = s.agg(F.sum(F.when(capped, cap).otherwise(0.0)), F.sum(F.when(capped, 0.0).otherwise(F.col("w")))).first()
+        if not open_w:
+            break
+        new = (total - caps) / open_w
+        if new <= level * (1 + 1e-15):
+            break
+        level = new
+    target = F.least(cap, F.lit(level) * F.col("w"))
+    return s.select("source", "source_size", target.alias("target"), F.when(F.col("source_size") > 0, target / F.col("source_size")).otherwise(0.0).alias("p"))
+
+
+def _draw(*of):
+    return F.shiftrightunsigned(F.xxhash64(*of), 11) / F.lit(float(2**53))
 
 
 def _fold(items, seed):
@@ -50,8 +75,7 @@ def _fold(items, seed):
         a, b = acc["left"], item
         down = F.least(a["x"] * a["words"], (1 - b["x"]) * b["words"])  # from a to b
         up = F.least((1 - a["x"]) * a["words"], b["x"] * b["words"])
-        draw = F.shiftrightunsigned(F.xxhash64(a["key"], b["key"], F.lit(seed)), 11) / F.lit(float(2**53))
-        to_b = draw * (down + up) < up
+        to_b = _draw(a["key"], b["key"], F.lit(seed)) * (down + up) < up
         # Which of the two became integral is known from the smaller bound, not from rounded sums.
         a_done = F.when(to_b, a["x"] * a["words"] <= (1 - b["x"]) * b["words"]).otherwise((1 - a["x"]) * a["words"] <= b["x"] * b["words"])
         ax = F.when(to_b, a["x"] - down / a["words"]).otherwise(a["x"] + up / a["words"])
@@ -65,8 +89,13 @@ def _fold(items, seed):
     return F.aggregate(items, start, step)
 
 
+def row_key():
+    """What tells documents apart: 64 bits of doc_id, source and text, nulls unlike any value."""
+    return F.xxhash64(F.col("doc_id").isNull(), "doc_id", F.col("source").isNull(), "source", F.col("text").isNull(), "text")
+
+
 def mix_copies(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3, seed: int = 17) -> DataFrame:
-    """docs (doc_id, text, source) -> one row per row: doc_id, size, source_size, target, copies, taken.
+    """docs (doc_id, text, source) -> one row per row: doc_id, size, source_size, target, copies, taken, key, source.
 
     Size: words ``[^\\x20\\x09-\\x0D]+`` of the text (null: 0). Sources in code point order, null last, weigh
     `weights`, repeating, and share 100% of all words; a target stops at `most` times its source's
@@ -76,60 +105,65 @@ def mix_copies(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int
     extra columns are fine.
     """
     docs = plain(docs, "doc_id", "text", "source")
-    size = F.regexp_count(F.coalesce("text", F.lit("")), F.lit("[^\\x20\\x09-\\x0D]+")).cast("long")
-    sizes = keep(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", size.alias("size"), F.xxhash64("doc_id", "text", "source").alias("key")), "sizes")
-    targets = keep(_source_targets(sizes, weights, most), "targets")
-    same = F.col("source").eqNullSafe(F.col("of"))
-    known = sizes.join(targets.withColumnRenamed("source", "of"), same)
+    size = F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit("[^\\x20\\x09-\\x0D]+")).cast("long")
+    sizes = keep(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", size.alias("size"), row_key().alias("key")), "sizes")
+    # Small beside the documents: one row a source. Spark broadcasts it where its file is small, and splits hot sources where not.
+    targets = keep(source_targets(sizes, weights, most), "targets")
+    known = keep(sizes.join(targets.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of"))).drop("of"), "known")
     items = known.withColumn("x", F.col("p") - F.floor("p")).filter("size > 0 and x > 0")
     items = items.groupBy("source", "key").agg((F.first("size") * F.count(F.lit(1))).cast("double").alias("words"), F.first("x").alias("x"))
-    bits = _rounded(items, seed)
-    out = known.select("doc_id", "size", "source_size", "target", "p", "key")
-    if bits is not None:
-        out = out.join(bits.withColumnRenamed("key", "k"), F.col("key") == F.col("k"), "left").withColumn("copies", F.floor("p") + F.coalesce("bit", F.lit(0)))
-    else:
-        out = out.withColumn("copies", F.floor("p"))
-    out = out.withColumn("copies", F.when(F.col("size") > 0, F.col("copies")).otherwise(0).cast("long"))
-    return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", "key")
-
-
-def _rounded(items: DataFrame, seed: int) -> DataFrame | None:
-    """(source, key, words, x) -> (key, bit) by the reduction tree; None without items."""
-    level, done = keep(items.select(F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("tree"), "key", "words", "x"), "fractions"), None
-    items = level
+    bits = _rounded(items, seed).withColumnRenamed("key", "k")
+    tree = _tree("source")
+    out = known.join(bits, (F.col("key") == F.col("k")) & (tree == F.col("tree")), "left")
+    copies = F.when(F.col("size") > 0, F.floor("p") + F.coalesce("bit", F.lit(0))).otherwise(0).cast("long")
+    return out.select("doc_id", "size", "source_size", "target", (copies * F.col("size")).alias("taken"), copies.alias("copies"), "key", "source")
+
+
+def _tree(source):
+    return F.coalesce(F.concat(F.lit("="), F.col(source)), F.lit(""))
+
+
+def _rounded(items: DataFrame, seed: int) -> DataFrame:
+    """(source, key, words, x) -> (tree, key, bit), a tree for each source."""
+    items = keep(items.select(_tree("source").alias("tree"), "key", "words", "x"), "fractions")
+    borders = keep(items.groupBy(F.col("tree").alias("of")).agg(F.percentile_approx("words", list(STEPS)).alias("at")), "borders")
+    step = sum((F.when(F.col("words") > F.element_at("at", i + 1), 1).otherwise(0) for i in range(len(STEPS))), F.lit(0))
+    items = keep(items.join(borders, F.col("tree") == F.col("of")).select("tree", "key", "words", "x", step.alias("step")), "steps")
+    done, short = None, None
+    for turn, step in enumerate(reversed(range(len(STEPS) + 1))):
+        level = items.filter(F.col("step") == step).drop("step")
+        if short is not None:
+            sums = keep(level.groupBy(F.col("tree").alias("of")).agg(F.sum("words").alias("mass")).join(short, F.col("of") == F.col("late")).select("of", (F.col("short") / F.col("mass")).alias("more")), "spread")
+            # Every x of a source is the same, so its step bears the whole shift or as much of it as 0 and 1 leave room for.
+            level = level.join(sums, F.col("tree") == F.col("of"), "left").select("tree", "key", "words", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("x") + F.coalesce("more", F.lit(0.0)))).alias("x"))
+        level = keep(level, "step")
+        bits = _decided(level.filter("x > 0 and x < 1"), seed + 100 * turn)
+        sure = level.filter("x <= 0 or x >= 1").select("tree", "key", F.col("x").cast("int").alias("bit"))
+        bits = keep(sure if bits is None else bits.unionByName(sure), "bits")
+        done = bits if done is None else done.unionByName(bits)
+        # What the step leaves over or short of what it and the steps before wanted.
+        took = bits.select(F.col("tree").alias("t"), F.col("key").alias("k"), "bit").join(items.filter(F.col("step") == step), (F.col("t") == F.col("tree")) & (F.col("k") == F.col("key")))
+        gap = took.groupBy("tree").agg(F.sum(F.col("words") * (F.col("x") - F.col("bit"))).alias("gap"))
+        if short is not None:
+            gap = gap.unionByName(short.select(F.col("late").alias("tree"), F.col("short").alias("gap"))).groupBy("tree").agg(F.sum("gap").alias("gap"))
+        short = keep(gap.select(F.col("tree").alias("late"), F.col("gap").alias("short")), "short")
+    return done
+
+
+def _decided(level: DataFrame, seed: int) -> DataFrame | None:
+    """(tree, key, words, x) -> (tree, key, bit) by the reduction tree; None without items."""
     n = level.groupBy("tree").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
     if n is None:
         return None
-    turn = 0
+    turn, done = 0, None
     while True:
         blocks = -(-n // FAN_IN)
-        counts = F.lit(1).cast("long") if blocks == 1 else F.lit(blocks)
-        block = F.pmod(F.xxhash64("key", F.lit(seed + turn)), counts)
+        block = F.pmod(F.xxhash64("key", F.lit(seed + turn)), F.lit(blocks).cast("long"))
         folded = level.withColumn("block", block).groupBy("tree", "block").agg(F.sort_array(F.collect_list(F.struct(F.xxhash64("key", F.lit(seed)).alias("h"), "key", "words", "x"))).alias("all"))
-        folded = keep(folded.select("tree", "block", _fold(F.col("all"), seed + turn).alias("f")), "folded")
-        out = folded.select(F.inline("f.done"))
+        folded = keep(folded.select("tree", _fold(F.col("all"), seed + turn).alias("f")), "folded")
+        out = folded.select("tree", F.inline("f.done"))
         done = out if done is None else done.unionByName(out)
         level = folded.select("tree", F.col("f.left.key").alias("key"), F.col("f.left.words").alias("words"), F.col("f.left.x").alias("x"))
         if blocks == 1:
-            draw = F.shiftrightunsigned(F.xxhash64("key", F.lit(seed)), 11) / F.lit(float(2**53))
-            last = level.withColumn("bit", (draw < F.col("x")).cast("int"))
-            return _repaired(items, done.unionByName(last.select("key", "bit")), last.select("tree", F.col("key").alias("root"), ((F.col("x") - F.col("bit")) * F.col("words")).alias("short")))
+            return done.unionByName(level.select("tree", "key", (_draw("key", F.lit(seed)) < F.col("x")).cast("int").alias("bit")))
         n, turn = blocks, turn + 1
-
-
-def _repaired(items, bits, last):
-    """Flip documents, larger ones first, while that brings a source's words closer to its target."""
-    bits = keep(bits, "bits")
-    counts = items.groupBy(F.col("tree").alias("of")).agg(F.ceil(F.count(F.lit(1)) / REPAIR).alias("parts")).join(last, F.col("of") == F.col("tree")).select("of", "parts", "root", "short")
-    few = items.join(counts, F.col("tree") == F.col("of")).filter((F.pmod(F.xxhash64("key", F.lit("repair")), "parts") == 0) & (F.col("key") != F.col("root")))
-    few = few.join(bits.select(F.col("key").alias("k"), "bit"), F.col("key") == F.col("k")).select("tree", "short", F.struct(F.col("words"), "key", "bit").alias("item"))
-    few = few.groupBy("tree").agg(F.first("short").alias("short"), F.reverse(F.sort_array(F.collect_list("item"))).alias("all"))
-
-    def step(acc, x):
-        gain = F.when(x["bit"] == 0, x["words"]).otherwise(-x["words"])
-        better = F.abs(acc["short"] - gain) < F.abs(acc["short"])
-        return F.when(better, F.struct((acc["short"] - gain).alias("short"), F.array_append(acc["done"], F.struct(x["key"].alias("flipped"), (1 - x["bit"]).alias("to"))).alias("done"))).otherwise(acc)
-
-    start = F.struct(F.col("short").alias("short"), F.array().cast("array<struct<flipped:long,to:int>>").alias("done"))
-    flips = few.select(F.inline(F.aggregate("all", start, step)["done"]))
-    return bits.join(flips, F.col("key") == F.col("flipped"), "left").select("key", F.coalesce("to", "bit").alias("bit"))
