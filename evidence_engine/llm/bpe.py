@@ -17,6 +17,7 @@ from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import regex
 from pyspark.sql import DataFrame
 
@@ -38,7 +39,7 @@ class _Pairs(dict):
         self.ranks, self.vocabulary = ranks, {v: k for k, v in ranks.items()}
 
     def __missing__(self, pair):
-        if len(self) > 500_000:
+        if len(self) > 250_000:
             self.clear()
         self[pair] = rank = self.ranks.get(self.vocabulary[pair >> 20] + self.vocabulary[pair & 0xFFFFF], -1)
         return rank
@@ -219,36 +220,61 @@ class _Known:
 CHUNKS = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 
 
+#: Characters encoded together, and so the size of what a task hands back at a time.
+GROUP = 1 << 20
+
+
 def _groups(texts, limit):
-    """Consecutive texts of about `limit` characters together; null is empty."""
-    group, size = [], 0
+    """(first row, texts) of consecutive texts of about `limit` characters together; null is empty."""
+    group, size, first = [], 0, 0
     for text in texts:
         text = text.as_py() or ""
         group.append(text)
         size += len(text)
         if size > limit:
-            yield group
-            group, size = [], 0
+            yield first, group
+            group, size, first = [], 0, first + len(group)
     if group:
-        yield group
+        yield first, group
+
+
+class _Bytes:
+    """Bytes of ids."""
 
+    def __init__(self, ranks):
+        self.size = np.zeros(max(ranks.values(), default=-1) + 1, np.int64)
+        for token, rank in ranks.items():
+            self.size[rank] = len(token)
+        self.start = np.cumsum(self.size) - self.size
+        self.data = np.zeros(int(self.size.sum()), np.uint8)
+        for token, rank in ranks.items():
+            self.data[self.start[rank] : self.start[rank] + len(token)] = np.frombuffer(token, np.uint8)
 
-def _encode(raw, pattern, held):
+    def decode(self, ids, counts):
+        """An Arrow column of the bytes of each list of ids, the lists laid end to end."""
+        n = self.size[ids]
+        upto = np.concatenate([[0], np.cumsum(n)])
+        data = self.data[np.repeat(self.start[ids] - upto[:-1], n) + np.arange(upto[-1])]
+        ends = upto[np.concatenate([[0], np.cumsum(counts)])]
+        return pa.Array.from_buffers(pa.large_binary(), len(counts), [None, pa.py_buffer(ends.astype(np.int64).tobytes()), pa.py_buffer(data.tobytes())]).cast(pa.binary())
+
+
+def _encode(raw, pattern, held, decoding):
     def rows(batches):
-        known = _Known(read_ranks(raw.value), pattern)
+        ranks = read_ranks(raw.value)
+        known, back = _Known(ranks, pattern), _Bytes(ranks) if decoding else None
         gc.disable()  # many small lists and no cycles: the collector would only walk them
         try:
             for batch in batches:
-                flat, lengths = [np.zeros(0, np.int32)], [np.zeros(1, np.int64)]
-                for texts in _groups(batch.column("text"), 1 << 22):
+                for first, texts in _groups(batch.column("text"), GROUP):
                     ids, sizes = known.encode(texts)
-                    flat.append(ids)
-                    lengths.append(sizes)
+                    offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
+                    out = [batch.column("doc_id").slice(first, len(texts)), pa.ListArray.from_arrays(offsets, pa.array(ids, pa.int32()))]
+                    if decoding:
+                        out.append(back.decode(ids, sizes))
                     if len(known.chunks) > held:
                         known.forget()
-                offsets = pa.array(np.cumsum(np.concatenate(lengths)), pa.int32())
-                column = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(flat), pa.int32()))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), column], ["doc_id", "ids"])
+                    yield pa.RecordBatch.from_arrays(out, ["doc_id", "ids", "decoded"][: len(out)])
         finally:
             gc.enable()
 
@@ -257,38 +283,39 @@ def _encode(raw, pattern, held):
 
 def _decode(raw):
     def rows(batches):
-        ranks = read_ranks(raw.value)
-        size = np.zeros(max(ranks.values(), default=-1) + 1, np.int64)
-        for token, rank in ranks.items():
-            size[rank] = len(token)
-        start = np.cumsum(size) - size
-        data = np.zeros(int(size.sum()), np.uint8)
-        for token, rank in ranks.items():
-            data[start[rank] : start[rank] + len(token)] = np.frombuffer(token, np.uint8)
+        back = _Bytes(read_ranks(raw.value))
         for batch in batches:
-            decoded = []
-            for ids in batch.column("ids"):
-                at = ids.values.to_numpy() if ids.is_valid else np.zeros(0, np.int32)
-                n = size[at]
-                decoded.append(data[np.repeat(start[at] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))].tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("ids"), pa.array(decoded, pa.binary())], ["doc_id", "ids", "decoded"])
+            lists = batch.column("ids")
+            counts = np.nan_to_num(pa.compute.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.float64)).astype(np.int64)
+            ids = lists.flatten().to_numpy(zero_copy_only=False)  # null lists hold nothing
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("ids"), back.decode(ids, counts)], ["doc_id", "ids", "decoded"])
 
     return rows
 
 
-def encode(docs: DataFrame, rank_file: str, pattern: str, held: int = 400_000) -> DataFrame:
+def _encoded(docs, rank_file, pattern, held, decoding):
+    settle(docs.sparkSession)
+    with open(rank_file, "rb") as f:
+        raw = docs.sparkSession.sparkContext.broadcast(f.read())
+    docs = plain(docs, "doc_id", "text")
+    return docs.mapInArrow(_encode(raw, pattern, held, decoding), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ids array<int>" + ", decoded binary" * decoding)
+
+
+def encode(docs: DataFrame, rank_file: str, pattern: str, held: int = 200_000) -> DataFrame:
     """docs (doc_id, text) -> doc_id, ids array<int>, one row per row.
 
     Each match of `pattern` is encoded separately: the lowest rank merges first, the leftmost of
     equals first, and a match that is itself a token is that token. No special tokens. Null and empty
-    texts give an empty list. Rows may repeat, doc_id may be null, other columns are ignored. `held`
-    bounds a task's memory of encoded words, not what it encodes. The rank file is read by the driver.
+    texts give an empty list. Rows may repeat, doc_id may be null, other columns are ignored, an empty table gives an
+    empty result. `held` bounds a task's memory of encoded words, not what it encodes; rows are handed back as soon
+    as about a million characters are done. The rank file is read by the driver.
     """
-    settle(docs.sparkSession)
-    with open(rank_file, "rb") as f:
-        raw = docs.sparkSession.sparkContext.broadcast(f.read())
-    docs = plain(docs, "doc_id", "text")
-    return docs.mapInArrow(_encode(raw, pattern, held), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ids array<int>")
+    return _encoded(docs, rank_file, pattern, held, False)
+
+
+def round_trip(docs: DataFrame, rank_file: str, pattern: str, held: int = 200_000) -> DataFrame:
+    """encode() and decode() in one pass over the texts: doc_id, ids, decoded. The ids alone are decoded."""
+    return _encoded(docs, rank_file, pattern, held, True)
 
 
 def decode(encoded: DataFrame, rank_file: str) -> DataFrame:

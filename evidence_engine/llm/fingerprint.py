@@ -114,6 +114,7 @@ def _grouped(docs: DataFrame, rows: DataFrame) -> DataFrame:
     members = members.filter(F.getbit(byte, (F.col("at") % 8).cast("int")) == 1)
     texts = keep(members.groupBy("fingerprint", "canon").agg(F.min("doc_id").alias("group_id"), F.count(F.lit(1)).alias("group_size")), "canonical")
     groups = texts.groupBy(F.col("fingerprint").alias("f")).agg(F.count(F.lit(1)).alias("texts"), F.min("group_id").alias("group_id"), F.sum("group_size").alias("group_size"))
+    groups = keep(groups, "groups")  # a join with a table can be split where a group is large
     found = rows.join(groups, F.col("fingerprint") == F.col("f"), "left")
     own = {"group_id": F.coalesce("group_id", "doc_id"), "group_size": F.coalesce("group_size", F.lit(1)).cast("long")}
     plain_rows = found.filter("texts is null or texts = 1").select(*rows.columns, *[v.alias(k) for k, v in own.items()])

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tokens as T
-from .common import keep, plain, settle
+from .common import keep, merged, plain, settle
 
 #: Labelled rows with letters that make a language; labels of fewer count as another language's.
 LEAST_ROWS = 3
@@ -107,7 +107,8 @@ def train(docs: DataFrame) -> Model:
     many = known.filter(F.col("text").rlike(r"[A-Za-z\x{80}-\x{10FFFF}]")).groupBy("lang").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= LEAST_ROWS)
     languages = tuple(sorted(r.lang for r in many.collect()))  # a row a language
     counts, single = np.zeros((len(languages), 1 << BITS)), np.zeros(256)
-    for r in known.filter(F.col("lang").isin(*languages)).mapInArrow(_count_rows(languages), "k long, counts binary").groupBy("k").applyInPandas(_add, "k long, counts binary").collect():
+    counted = known.filter(F.col("lang").isin(*languages)).mapInArrow(_count_rows(languages), "k long, counts binary")
+    for r in merged(counted, "k", _add, "k long, counts binary").collect():  # a row a language
         (counts[r.k] if r.k < len(languages) else single)[:] += np.frombuffer(zlib.decompress(r.counts), np.int64)
     background = _background(single)
     backed = (counts + BACKING * background) / (counts.sum(axis=1, keepdims=True) + BACKING)

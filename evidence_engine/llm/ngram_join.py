@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tokens as T
-from .common import keep, plain, settle
+from .common import keep, merged, plain, settle
 from .components import components
 
 #: The rare-first order knows a shingle's document frequency by powers of two from 4 up; 2**24 cells
@@ -228,7 +228,9 @@ def ngram_jaccard_join(docs: DataFrame, percent: int = 80) -> DataFrame:
         known = known.join(labels, known.cls == labels.node, "left").select("doc_id", "n_shingles", F.coalesce("comp", "cls").alias("comp"))
     else:
         known = known.withColumnRenamed("cls", "comp")
-    smallest = known.groupBy(F.col("comp").alias("c")).agg(F.min("doc_id").alias("component_id"))
+    # Written first: a join with a table, unlike one with an aggregate in the same stage, can be split where a component is large.
+    known = keep(known, "members")
+    smallest = keep(known.groupBy(F.col("comp").alias("c")).agg(F.min("doc_id").alias("component_id")), "smallest")
     known = known.join(smallest, known.comp == smallest.c, "left").select("doc_id", "n_shingles", "component_id")
     return known.union(classes.filter("cls is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
 
@@ -250,15 +252,20 @@ def _linked_classes(spark, docs, classes, percent):
     entries = texts.mapInArrow(_prefix_entries(bits, percent, order_of), "p long, k binary, cls binary, n binary, pos binary")
     post = keep(entries.groupBy("p").applyInPandas(_postings(bits), "key long, cls long, n int, pos int"), "postings")
 
-    links, labels = None, None
+    links, labels, compared = None, None, None
     for seeds in (range(8), range(8, 16), None):
         at = post.withColumn("comp", F.col("cls"))
         if labels is not None:
             at = post.join(labels, post.cls == labels.node, "left").select("key", "cls", "n", "pos", F.coalesce("comp", "cls").alias("comp"))
         pairs = _hub_pairs(at, seeds, percent) if seeds else _all_pairs(at, classes, percent)
-        pairs = keep(pairs.distinct(), "pairs")
+        pairs = pairs.distinct()
+        if compared is not None:
+            old = compared.select(F.col("a").alias("a0"), F.col("b").alias("b0"))
+            pairs = pairs.join(old, (F.col("a") == F.col("a0")) & (F.col("b") == F.col("b0")), "left_anti")
+        pairs = keep(pairs, "pairs")
         if pairs.isEmpty():
             continue
+        compared = pairs if compared is None else compared.union(pairs)
         near = keep(_verified(pairs, texts, percent), "links")
         if near.isEmpty():
             continue
@@ -303,7 +310,7 @@ def _all_pairs(at, classes, percent):
 def _sets_of(texts, wanted):
     """(cls, shingles) of the wanted classes. A bitmap of 2**24 bits, whatever their number, lets few
     others through; the joins drop those."""
-    slices = wanted.mapInPandas(_wanted_bitmap, "p int, b binary").groupBy("p").applyInPandas(_merge_bitmap, "p int, b binary")
+    slices = merged(wanted.mapInPandas(_wanted_bitmap, "p int, b binary"), "p", _merge_bitmap, "p int, b binary")
     bitmap = np.zeros(1 << 21, dtype=np.uint8)
     for row in slices.collect():  # at most 64 slices of 32 KB
         bitmap[row.p << 15 : (row.p + 1) << 15] = np.frombuffer(zlib.decompress(row.b), np.uint8)

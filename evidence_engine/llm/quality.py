@@ -41,7 +41,7 @@ def _sparse_rows(batches):
                 buckets, counts = np.unique(np.concatenate([single[a:b], pair[a : max(a, b - 1)]]), return_counts=True)
                 at.append(buckets.astype(np.int32).tobytes())
                 share.append((counts / max(1, b - a)).astype(np.float32).tobytes())
-        yield pa.RecordBatch.from_arrays([batch.column("quality"), pa.array(at, pa.binary()), pa.array(share, pa.binary())], ["quality", "at", "share"])
+        yield pa.RecordBatch.from_arrays([batch.column("order"), batch.column("quality"), pa.array(at, pa.binary()), pa.array(share, pa.binary())], ["order", "quality", "at", "share"])
 
 
 def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], epochs: int = 4, alpha: float = 0.3, beta: float = 0.05, l1: float = 2e-3, l2: float = 1e-4) -> np.ndarray:
@@ -96,7 +96,10 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, fold: int =
     learn = learn.groupBy(F.col("doc_id").alias("labelled")).agg(F.max(F.when(F.col("quality") >= 1, 1).otherwise(0)).alias("quality"))
     learn = learn.orderBy(F.xxhash64("labelled"), "labelled").limit(sample)
     known = plain(docs, "doc_id", "text").join(F.broadcast(learn), F.col("doc_id") == F.col("labelled")).select("doc_id", "quality", "text")
-    found = known.orderBy(F.xxhash64("doc_id"), F.xxhash64("text")).limit(sample).select("quality", "text").mapInArrow(_sparse_rows, "quality int, at binary, share binary").collect()
+    # Texts become sparse features where they are; only those meet in one task, at most 8 bytes for each of 2**BITS buckets a row.
+    order = F.struct(F.xxhash64("doc_id").alias("h"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("t"))
+    sparse = known.select(F.to_json(order).alias("order"), "quality", "text").mapInArrow(_sparse_rows, "order string, quality int, at binary, share binary")
+    found = sparse.orderBy("order").limit(sample).collect()
     return fit([(np.frombuffer(r["at"], np.int32), np.frombuffer(r["share"], np.float32), r.quality) for r in found])
 
 

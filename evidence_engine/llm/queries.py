@@ -53,10 +53,10 @@ def op8_byte_level_bpe(spark, sf_dir):
     import public_tokenizers
     from pyspark.sql import functions as F
 
-    from .bpe import decode, encode
+    from .bpe import round_trip
 
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    both = decode(encode(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN), path)
+    both = round_trip(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
     return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
