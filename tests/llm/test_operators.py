@@ -62,6 +62,23 @@ def test_license_scan(docs, none):
     assert license_scan.license_scan(none).count() == 0
 
 
+def test_license_scan_equals_brute_force(spark):
+    r = np.random.default_rng(9)
+    long = " ".join(f"clause{i % 150} of{i % 7}" for i in range(120))
+    words = [*license_scan.PHRASES, "mit", "license", "cc", "by", "x", "apache", "gnu general", "public license", "MIT LICENSE", "\u00e9t\u00e9"]
+    texts = [" ".join(r.choice(words, int(n))) for n in r.integers(0, 60, 60)] + ["y " * 333 + long + " z" * 50, " ".join(long.split()[:150]), long, None, ""]
+    got = {x.doc_id: x for x in license_scan.license_labels(license_scan.license_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3), notices={long: "long"})).collect()}
+    for i, t in enumerate(texts):
+        w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(t))
+        hits = [(k, label) for p, label in license_scan.PHRASES.items() for k in range(len(w)) if w[k : k + len(p.split())] == p.split()]
+        # Blocks of two strides of 256 words that start every stride.
+        own = set(long.split())
+        share = max((len(own & set(w[k : k + 512])) / len(own) for k in range(0, max(1, len(w)), 256)), default=0)
+        assert (got[i].n_words, got[i].n_base, got[i].first_word, got[i].last_word) == (len(w), len(hits), min((k for k, _ in hits), default=None), max((k for k, _ in hits), default=None))
+        assert got[i].base_labels == ",".join(sorted({x for _, x in hits})) and got[i].labels == ",".join(sorted({x for _, x in hits} | ({"long"} if share >= 0.8 else set())))
+    assert got[60].labels == "long" and got[62].score == 1.0 and got[61].labels == ""
+
+
 def test_ngram_join(docs, none):
     def sets(t):
         w = WORD.findall(lower(t))
@@ -120,6 +137,23 @@ def test_mixing(docs, none):
     assert all(r.taken <= 3 * r.size for r in out.collect()) and mixing.mix_copies(none).count() == 0
 
 
+def test_taken_words_come_near_the_targets_and_expectations_hold(spark):
+    r = np.random.default_rng(11)
+    rows = [(i, "w " * int(n), f"s{i % 4}" if i % 9 else None) for i, n in enumerate(np.exp(r.normal(4, 1.2, 1200)).astype(int) + 1)]
+    rows += [(5000, "w " * 20000, "s1"), (5001, "w " * 9000, "one"), (5002, "", "none"), (5000, "w " * 20000, "s1")]
+    df = spark.createDataFrame([(*x, 1, "k") for x in rows], "doc_id long, text string, source string, size int, key string").repartition(4)
+    for seed in (1, 2):
+        out = mixing.mix_copies(df, seed=seed).toPandas()
+        assert (out.taken <= 3 * out["size"]).all() and len(out) == len(rows)
+        for _, part in out.fillna({"source": "~"}).groupby("source"):
+            least = part["size"][part["size"] > 0].quantile(0.1) if len(part) > 20 else part["size"].max()
+            assert abs(part.taken.sum() - part.target.iloc[0]) <= max(least, 1) + 1
+    few = spark.createDataFrame([(i, "w " * 10, "a" if i % 4 else "b") for i in range(40)], "doc_id long, text string, source string")
+    mean = np.mean([[x.copies for x in mixing.mix_copies(few, seed=s).orderBy("doc_id").collect()] for s in range(12)], axis=0)
+    assert abs(mean[0::4].mean() - 80 / 7 * 1.0 / 10 * 1.0) < 3  # all documents of a source are alike
+    assert all(0 <= m <= 3 for m in mean)
+
+
 def test_quality(docs, none, spark):
     good, bad = "the quick brown fox jumps", "x!! y!! z!! $$$ ###"
     learn = spark.createDataFrame([(i, (good if i % 2 else bad) + f" w{i % 7}") for i in range(60)], "doc_id long, text string")
@@ -218,6 +252,34 @@ def test_exact_topk(spark):
     assert exact_topk.exact_topk(df.limit(0)).count() == 0
 
 
+def test_exact_topk_with_repeated_queries_ties_and_huge_components(spark):
+    same = [(20, [1.0, 1.0])] * 2 + [(i, [1.0, 1.0]) for i in range(101, 120)]
+    got = exact_topk.exact_topk(spark.createDataFrame([(*r, 9, 9) for r in same], "vec_id long, embedding array<double>, rank int, q int")).collect()
+    assert sorted((r.rank, r.vec_id, r.score) for r in got) == [(k + 1, 101 + k, 8192) for k in range(19)]
+    huge = [(20, [2.0**20, 3.0]), (1, [2.0**30, 1.0]), (2, [-(2.0**30), 0.5]), (3, [1e8, -1.0]), (4, [2.0**46, 0.25]), (40, [1e-3, 0.0])]
+    want = {(q, i, sum(math.floor(64 * a) * math.floor(64 * b) for a, b in zip(x, y))) for q, x in huge if q % 20 == 0 for i, y in huge if i != q and q == 40} | {(20, i, sum(math.floor(64 * a) * math.floor(64 * b) for a, b in zip(huge[0][1], y))) for i, y in huge if i not in (20, 4)}
+    df = spark.createDataFrame([r for r in huge if r[0] != 4], "vec_id long, embedding array<double>")
+    assert {(r.query_id, r.vec_id, r.score) for r in exact_topk.exact_topk(df).collect()} == {w for w in want if w[1] != 4}
+    out = exact_topk.exact_topk(spark.createDataFrame([(20, [2.0**80, 0.0]), (1, [2.0**-80, 2.0**70]), (2, [0.0, 5.0])], "vec_id long, embedding array<double>"))
+    assert [(r.vec_id, r.score) for r in out.orderBy("rank").collect()] == [(1, 0), (2, 0)]
+
+
+def test_exact_topk_reads_few_vectors(spark, monkeypatch):
+    r = np.random.default_rng(5)
+    v = r.normal(size=(3000, 16))
+    monkeypatch.setattr(exact_topk, "ROW_BLOCK", 500)
+    monkeypatch.setattr(exact_topk, "QUERY_BLOCK", 40)
+    made, keep = {}, exact_topk.keep
+    monkeypatch.setattr(exact_topk, "keep", lambda df, name: made.setdefault(name, keep(df, name)))
+    got = {(x.query_id, x.rank): (x.vec_id, x.score) for x in exact_topk.exact_topk(spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")).collect()}
+    whole = np.floor(64 * v).astype(np.int64)
+    for q in range(0, 3000, 20):
+        score = whole @ whole[q]
+        order = [i for i in np.lexsort((np.arange(3000), -score)) if i != q][:20]
+        assert [got[q, k + 1] for k in range(20)] == [(i, score[i]) for i in order]
+    assert made["read"].count() <= 150 * 40 and made["near"].count() < 150 * 3000 / 20
+
+
 def test_bpe(docs, none):
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     with open(path, "rb") as f:
@@ -284,12 +346,36 @@ def test_sharding(docs, none):
         slots = sorted(r.slot for r in rows if r.shard == s)
         assert slots == list(range(len(slots)))
     assert all(r.text_crc32 == zlib.crc32(t.encode()) for r in rows for i, t, *_ in ROWS if r.doc_id == i and t and i is not None)
-    r = np.random.default_rng(3)
-    placed = dict(sharding.place([(i, *r.integers(1, 50, 3).tolist()) for i in range(4000)], 10))
-    assert len(placed) == 4000 and set(placed.values()) == set(range(10))
+    vectors = np.random.default_rng(3).integers(1, 50, (4000, 3)).astype(float)
+    vectors = vectors[np.argsort(-vectors.max(axis=1))] / vectors.sum(axis=0) * 10
+    left = np.ones((10, 3))
+    assert set(sharding.place(vectors, left)) == set(range(10)) and np.abs(left).max() < 0.02
     assert sharding.vector_shards(none).count() == 0
 
 
+def test_groups_of_equal_texts_stay_together_and_shards_are_level(spark, monkeypatch):
+    r = np.random.default_rng(8)
+    texts = [f"text {i} " + "w " * int(r.integers(5, 60)) for i in range(1500)]
+    rows = [(i, texts[int(r.integers(0, 1500))] if i % 3 else texts[i % 1500]) for i in range(4000)] + [(4000 + i, "copied by a third " * 3) for i in range(2000)] + [(6000 + i, texts[7]) for i in range(100)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    monkeypatch.setattr(sharding, "BUCKET", 100)  # so that several tasks pack
+    got = sharding.vector_shards(df, shards=4).collect()
+    assert sorted(map(str, got)) == sorted(map(str, sharding.vector_shards(df.repartition(2), shards=4).collect()))
+    shard_of, sizes = {}, Counter()
+    text_of = dict(rows)
+    for x in got:
+        shard_of.setdefault(text_of[x.doc_id], set()).add(x.shard)
+        sizes[x.shard] += x.size
+    assert all(len(s) == 1 for t, s in shard_of.items() if t != "copied by a third " * 3)
+    assert len(sizes) == 4 and max(sizes.values()) / (sum(sizes.values()) / 4) < 1.01
+
+
+def test_fewer_rows_than_shards_and_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "a", 5, 7), (None, "a", 5, 7), (2, None, 5, 7)], "doc_id long, text string, shard int, bytes int")
+    got = sharding.vector_shards(df).collect()
+    assert sorted(x.size for x in got) == [16, 17, 17] and len({x.shard for x in got if x.size == 17}) == 1
+
+
 def test_long_tail_of_sources_is_capped(spark):
     df = spark.createDataFrame([(i, "w " * 10, f"s{i:03d}") for i in range(40)], "doc_id long, text string, source string")
     out = mixing.mix_copies(df)
