@@ -9,11 +9,11 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from evidence_engine.llm.bpe import decode, encode
+from evidence_engine.llm.bpe import round_trip
 from evidence_engine.llm.common import keep, table
 from evidence_engine.llm.language import document_evidence, identify
 from evidence_engine.llm.language import train as train_languages
-from evidence_engine.llm.mixing import mix_copies
+from evidence_engine.llm.mixing import mix_copies, row_key
 from evidence_engine.llm.ngram_join import ngram_jaccard_join
 from evidence_engine.llm.quality import quality_scores
 
@@ -28,7 +28,8 @@ def _without(docs, gone):
 
 def language_stage(spark, docs, sf_dir):
     """Documents without letters or without a language of enough confidence go; lang becomes what was
-    identified where it differs."""
+    identified where it differs. Texts that are null or empty go; rows that share an id stay if any of them is accepted, and
+    take the last language in code point order that was found for them."""
     found = identify(document_evidence(docs), train_languages(docs))
     found = keep(found.groupBy(F.col("id").alias("doc_id")).agg(F.max("accepted").alias("accepted"), F.max("lang").alias("found")), "languages")
     kept = _without(docs, found.filter("not accepted"))
@@ -39,7 +40,8 @@ def language_stage(spark, docs, sf_dir):
 
 
 def quality_stage(spark, docs, sf_dir):
-    """Documents that the classifier predicts as label 0 go."""
+    """Documents that the classifier predicts as label 0 go; rows that share an id stay if any of them is predicted as 1. Null
+    and empty texts are scored by the bias alone, and without labels of both classes all stay."""
     scored = quality_scores(docs, table(spark, sf_dir, "labels"))
     return _without(docs, scored.groupBy("doc_id").agg(F.max("predicted").alias("p")).filter("p = 0"))
 
@@ -62,16 +64,17 @@ def near_duplicate_stage(spark, docs, sf_dir):
 
 
 def mixing_stage(spark, docs, sf_dir):
-    """Each document as often as the mix takes it: not at all, or up to three times."""
-    copies = mix_copies(docs).filter("copies > 0").groupBy("key").agg(F.max("copies").alias("copies"))
-    taken = docs.withColumn("of", F.xxhash64("doc_id", "text", "source")).join(copies, F.col("of") == F.col("key"))
+    """Each document as often as the mix takes it: not at all, or up to three times. Rows equal in id, source and text are decided
+    as one; documents without words aren't taken. Null sources are a source; an empty table stays empty."""
+    copies = mix_copies(docs).filter("copies > 0").groupBy("key", F.col("source").alias("of")).agg(F.max("copies").alias("copies"))
+    taken = docs.withColumn("taken_key", row_key()).join(keep(copies, "copies"), (F.col("taken_key") == F.col("key")) & F.col("source").eqNullSafe(F.col("of")))
     return taken.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select(*docs.columns)
 
 
 def bpe_stage(spark, docs, sf_dir):
-    """Token ids of every row, and the digest of the bytes that they decode to."""
-    path = public_tokenizers.path(VOCABULARY)
-    both = decode(encode(docs, path, public_tokenizers.PATTERN), path)
+    """Token ids of every row, and the digest of the bytes that they decode to. Null and empty texts have no ids; repeated rows
+    each have a row."""
+    both = round_trip(docs, public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
     return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
@@ -88,6 +91,7 @@ ORACLE_SQL = None
 
 
 def run(spark, sf_dir):
+    """The stages applied to the documents table in turn; each result but the last is written and read again."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = keep(stage(spark, docs, sf_dir), name)
