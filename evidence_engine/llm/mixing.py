@@ -9,8 +9,9 @@ is rounded by its own probability.
 
 What that last rounding leaves over or short is up to one document's words. So the larger documents of a source
 are rounded first, and what they leave over or short is spread evenly over the probabilities of the smaller ones before
-those are rounded, in three steps. A source ends within about one of its smallest documents of its
-target, and as what is spread is zero on average, no document's expected number of copies moves.
+those are rounded, step by step. A source ends within about one of its smallest documents of its
+target, unless one document holds more words than the smaller ones have room for. What is spread is zero on
+average, so no document's expected number of copies moves.
 """
 
 from __future__ import annotations
@@ -21,8 +22,8 @@ from pyspark.sql import functions as F
 from .common import keep, plain
 
 FAN_IN = 32
-#: Borders between the three steps of a source: quantiles of its documents' words.
-STEPS = (0.1, 0.5)
+#: Borders between the steps of a source: quantiles of its documents' words.
+STEPS = (0.1, 0.5, 0.9)
 
 
 def _numbered(sizes: DataFrame, weights: tuple[int, ...]) -> DataFrame:
@@ -64,12 +65,12 @@ def _draw(*of):
 
 def _fold(items, seed):
     """Fold an array of (key, words, x) by pivotal steps -> (key, words, x) left fractional, if any, and
-    the decided (key, bit)."""
+    the decided (key, words, bit). Items that are integral already are decided as they are."""
     none = F.struct(F.lit(None).cast("long").alias("key"), F.lit(None).cast("double").alias("words"), F.lit(None).cast("double").alias("x"))
-    start = F.struct(none.alias("left"), F.array().cast("array<struct<key:long,bit:int>>").alias("done"))
+    start = F.struct(none.alias("left"), F.array().cast("array<struct<key:long,words:double,bit:int>>").alias("done"))
 
-    def decided(key, bit):
-        return F.struct(key.alias("key"), bit.cast("int").alias("bit"))
+    def decided(item, bit):
+        return F.struct(item["key"].alias("key"), item["words"].alias("words"), bit.cast("int").alias("bit"))
 
     def step(acc, item):
         a, b = acc["left"], item
@@ -81,10 +82,11 @@ def _fold(items, seed):
         ax = F.when(to_b, a["x"] - down / a["words"]).otherwise(a["x"] + up / a["words"])
         bx = F.when(to_b, b["x"] + down / b["words"]).otherwise(b["x"] - up / b["words"])
         left = F.when(a_done, F.struct(b["key"].alias("key"), b["words"].alias("words"), bx.alias("x"))).otherwise(F.struct(a["key"].alias("key"), a["words"].alias("words"), ax.alias("x")))
-        gone = F.when(a_done, decided(a["key"], ~to_b)).otherwise(decided(b["key"], to_b))
+        gone = F.when(a_done, decided(a, ~to_b)).otherwise(decided(b, to_b))
         met = F.struct(left.alias("left"), F.array_append(acc["done"], gone).alias("done"))
         first = F.struct(F.struct(item["key"].alias("key"), item["words"].alias("words"), item["x"].alias("x")).alias("left"), acc["done"].alias("done"))
-        return F.when(a["key"].isNull(), first).otherwise(met)
+        sure = F.struct(acc["left"].alias("left"), F.array_append(acc["done"], decided(item, item["x"] >= 1)).alias("done"))
+        return F.when((item["x"] <= 0) | (item["x"] >= 1), sure).when(a["key"].isNull(), first).otherwise(met)
 
     return F.aggregate(items, start, step)
 
@@ -124,37 +126,36 @@ def _tree(source):
 
 
 def _rounded(items: DataFrame, seed: int) -> DataFrame:
-    """(source, key, words, x) -> (tree, key, bit), a tree for each source."""
+    """(source, key, words, x) -> (tree, key, bit), a tree for each source and step."""
     items = keep(items.select(_tree("source").alias("tree"), "key", "words", "x"), "fractions")
     borders = keep(items.groupBy(F.col("tree").alias("of")).agg(F.percentile_approx("words", list(STEPS)).alias("at")), "borders")
     step = sum((F.when(F.col("words") > F.element_at("at", i + 1), 1).otherwise(0) for i in range(len(STEPS))), F.lit(0))
     items = keep(items.join(borders, F.col("tree") == F.col("of")).select("tree", "key", "words", "x", step.alias("step")), "steps")
+    sums = keep(items.groupBy(F.col("tree").alias("of"), F.col("step").alias("at")).agg(F.count(F.lit(1)).alias("n"), F.sum("words").alias("mass"), F.sum(F.col("words") * F.col("x")).alias("wanted")), "sums")
+    largest = {r["at"]: r.n for r in sums.groupBy("at").agg(F.max("n").alias("n")).collect()}  # a row a step
     done, short = None, None
-    for turn, step in enumerate(reversed(range(len(STEPS) + 1))):
-        level = items.filter(F.col("step") == step).drop("step")
+    for turn, step in enumerate(sorted(largest, reverse=True)):
+        level, own = items.filter(F.col("step") == step).drop("step"), sums.filter(F.col("at") == step).drop("at", "n")
         if short is not None:
-            sums = keep(level.groupBy(F.col("tree").alias("of")).agg(F.sum("words").alias("mass")).join(short, F.col("of") == F.col("late")).select("of", (F.col("short") / F.col("mass")).alias("more")), "spread")
-            # Every x of a source is the same, so its step bears the whole shift or as much of it as 0 and 1 leave room for.
-            level = level.join(sums, F.col("tree") == F.col("of"), "left").select("tree", "key", "words", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("x") + F.coalesce("more", F.lit(0.0)))).alias("x"))
-        level = keep(level, "step")
-        bits = _decided(level.filter("x > 0 and x < 1"), seed + 100 * turn)
-        sure = level.filter("x <= 0 or x >= 1").select("tree", "key", F.col("x").cast("int").alias("bit"))
-        bits = keep(sure if bits is None else bits.unionByName(sure), "bits")
+            # Every x of a source is the same, so a step bears the whole shift or as much of it as 0 and 1 leave room for.
+            more = keep(own.join(short, F.col("of") == F.col("late")).select("of", (F.col("short") / F.col("mass")).alias("more")), "spread")
+            level = level.join(more, F.col("tree") == F.col("of"), "left").select("tree", "key", "words", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("x") + F.coalesce("more", F.lit(0.0)))).alias("x"))
+        bits = _decided(level, largest[step], seed + 100 * turn)
         done = bits if done is None else done.unionByName(bits)
-        # What the step leaves over or short of what it and the steps before wanted.
-        took = bits.select(F.col("tree").alias("t"), F.col("key").alias("k"), "bit").join(items.filter(F.col("step") == step), (F.col("t") == F.col("tree")) & (F.col("k") == F.col("key")))
-        gap = took.groupBy("tree").agg(F.sum(F.col("words") * (F.col("x") - F.col("bit"))).alias("gap"))
+        # What the step leaves over or short of what it and the steps before it wanted.
+        took = bits.groupBy("tree").agg((-F.sum(F.col("words") * F.col("bit"))).alias("gap"))
+        gap = took.unionByName(own.select(F.col("of").alias("tree"), F.col("wanted").alias("gap")))
         if short is not None:
-            gap = gap.unionByName(short.select(F.col("late").alias("tree"), F.col("short").alias("gap"))).groupBy("tree").agg(F.sum("gap").alias("gap"))
-        short = keep(gap.select(F.col("tree").alias("late"), F.col("gap").alias("short")), "short")
-    return done
+            gap = gap.unionByName(short.select(F.col("late").alias("tree"), F.col("short").alias("gap")))
+        if step:
+            short = keep(gap.groupBy(F.col("tree").alias("late")).agg(F.sum("gap").alias("short")), "short")
+    if done is None:
+        return items.select("tree", "key", F.lit(0).alias("bit"))
+    return done.select("tree", "key", "bit")
 
 
-def _decided(level: DataFrame, seed: int) -> DataFrame | None:
-    """(tree, key, words, x) -> (tree, key, bit) by the reduction tree; None without items."""
-    n = level.groupBy("tree").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
-    if n is None:
-        return None
+def _decided(level: DataFrame, n: int, seed: int) -> DataFrame:
+    """(tree, key, words, x), at most n a tree -> (tree, key, words, bit) by the reduction tree."""
     turn, done = 0, None
     while True:
         blocks = -(-n // FAN_IN)
@@ -163,7 +164,7 @@ def _decided(level: DataFrame, seed: int) -> DataFrame | None:
         folded = keep(folded.select("tree", _fold(F.col("all"), seed + turn).alias("f")), "folded")
         out = folded.select("tree", F.inline("f.done"))
         done = out if done is None else done.unionByName(out)
-        level = folded.select("tree", F.col("f.left.key").alias("key"), F.col("f.left.words").alias("words"), F.col("f.left.x").alias("x"))
+        level = folded.filter("f.left.key is not null").select("tree", F.col("f.left.key").alias("key"), F.col("f.left.words").alias("words"), F.col("f.left.x").alias("x"))
         if blocks == 1:
-            return done.unionByName(level.select("tree", "key", (_draw("key", F.lit(seed)) < F.col("x")).cast("int").alias("bit")))
+            return done.unionByName(level.select("tree", "key", "words", (_draw("key", F.lit(seed)) < F.col("x")).cast("int").alias("bit")))
         n, turn = blocks, turn + 1

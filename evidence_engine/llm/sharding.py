@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 
 from .common import keep, plain
 
-#: A group of more than 1 / HEAVY of a shard is placed by the driver: at most 3 * HEAVY * shards groups. One that
-#: fits no shard is cut into pieces of about 1 / PIECES of a shard: at most 6 * PIECES * shards pieces.
+#: A group of more than 1 / HEAVY of a shard is placed by the driver: at most 3 * HEAVY * shards groups. One of more
+#: bytes than a shard is cut into pieces of about 1 / PIECES of a shard: at most 2 * PIECES * shards pieces.
 HEAVY, PIECES = 64, 8
 #: Groups that one task packs, about.
 BUCKET = 20_000
@@ -61,7 +61,7 @@ def vector_shards(docs: DataFrame, shards: int = 40) -> DataFrame:
     """docs (doc_id, text) -> one row per row: doc_id, size, text_crc32, law, shard, slot, grown_shard, tokens.
 
     Size: UTF-8 bytes of the text (null: none) plus 16. law is 'bytes': the shards' sizes are near equal, as near as
-    whole groups allow. Equal texts share a shard; only a group of more bytes, tokens or rows than a whole
+    whole groups allow. Equal texts share a shard; only a group of more bytes than a whole
     shard's share is cut, by doc_id. slot counts a shard's rows from 0 without gaps. grown_shard is null: only
     the law 'key' has one. Reruns agree, whatever the partitions; groups of equal size go in the order of their
     hashes. Null texts count as empty; repeated rows and null ids are placed like others; an empty
@@ -83,7 +83,7 @@ def vector_shards(docs: DataFrame, shards: int = 40) -> DataFrame:
     n, *total = groups.agg(F.count(F.lit(1)), F.sum("bytes"), F.sum("tokens"), F.sum("rows")).first()
     share = np.array([max(1, x or 0) / shards for x in total])
     most = F.greatest(*[F.col(c) / float(x) for c, x in zip(("bytes", "tokens", "rows"), share, strict=True)])
-    heavy = keep(groups.withColumn("most", most).filter(F.col("most") > 1 / HEAVY).withColumn("pieces", F.when((F.col("most") > 1) & (F.col("rows") > 1), F.ceil(F.col("most") * PIECES)).otherwise(1)), "heavy")
+    heavy = keep(groups.withColumn("most", most).filter(F.col("most") > 1 / HEAVY).withColumn("pieces", F.when((F.col("bytes") > float(share[0])) & (F.col("rows") > 1), F.ceil(F.col("bytes") / float(share[0]) * PIECES)).otherwise(1)), "heavy")
     of_heavy = heavy.select(F.col("h1").alias("g1"), F.col("h2").alias("g2"), "pieces")
     same = (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2"))
     marked = base.join(F.broadcast(of_heavy), same, "left").drop("g1", "g2")  # at most 3 * HEAVY * shards rows
