@@ -50,7 +50,7 @@ def content_terms(text):
 def clean(text):
     """LF line ends, words joined over a hyphen at a line end, single blanks, at most one empty line."""
     text = F.regexp_replace(F.regexp_replace(text, "\r\n?", "\n"), r"(?U)(\w)-\n(\w)", "$1$2")
-    lines = F.transform(F.split(F.regexp_replace(text, "[ \t\xa0]+", " "), "\n"), F.trim)
+    lines = F.transform(F.split(F.regexp_replace(text, "[ \t\xa0]+", " "), "\n"), lambda x: F.trim(x))
     return F.trim(F.regexp_replace(F.array_join(lines, "\n"), "\n{3,}", "\n\n"))
 
 
@@ -98,3 +98,67 @@ def registrable_domain(url):
     two = F.array_join(F.slice(labels, F.greatest(F.size(labels) - 1, F.lit(1)), F.lit(2)), ".")
     three = F.array_join(F.slice(labels, F.greatest(F.size(labels) - 2, F.lit(1)), F.lit(3)), ".")
     return F.when(two.isin(*TWO_LEVEL), three).otherwise(two)
+
+
+def truncate_tokens(text, limit):
+    """At most so many estimated tokens of a text; nothing for a limit of 0 or less. limit: a number or a column."""
+    limit = F.lit(limit) if isinstance(limit, int) else limit
+    return F.when(limit <= 0, "").otherwise(F.substring(text, F.lit(1), (limit * 4).cast("int")))
+
+
+def fits(text, budget, used=0):
+    return token_count(text) + used <= budget
+
+
+def truncate_page(text, limit: int):
+    """A struct of kept text, kept and total characters: at most `limit`, cut at the last paragraph break of its last tenth if
+    there is one."""
+    text = F.coalesce(text, F.lit(""))
+    total, low = F.char_length(text), int(limit * 0.9)
+    tail = F.substring(text, low + 1, limit - low)
+    # The last break in the tail: what follows it holds none.
+    after = F.substring_index(tail, "\n\n", -1)
+    at = F.when(F.contains(tail, F.lit("\n\n")), low + F.char_length(tail) - F.char_length(after) - 2).otherwise(0)
+    cut = F.when(total <= limit, total).when(at > 0, at).otherwise(limit)
+    return F.struct(F.substring(text, F.lit(1), cut.cast("int")).alias("text"), cut.cast("long").alias("kept"), total.cast("long").alias("total"), (total > limit).alias("truncated"))
+
+
+# The entities of HTML that are decoded without Python; the rest is left to html_text().
+ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&nbsp;": " ", "&amp;": "&"}
+
+
+def strip_html(fragment):
+    """A fragment's text: tags out, common entities decoded, white space single."""
+    out = F.regexp_replace(F.coalesce(fragment, F.lit("")), r"<[^>]+>", " ")
+    for entity, char in ENTITIES.items():
+        out = F.replace(out, F.lit(entity), F.lit(char))
+    return F.trim(F.regexp_replace(out, r"\s+", " "))
+
+
+# Quoted strings, runs of capitalised words, measures, and words that only start a sentence.
+QUOTED = "[\"“']([^\"”']{3,60})[\"”']"
+PROPER = r"\b[A-Z][\w'-]*(?:\s+(?:of|de|van|der|and|for|the)\s+[A-Z][\w'-]*|\s+[A-Z][\w'-]*)*"
+MEASURE = r"(?i)\b\d[\d,.]*\s?(?:%|percent\b|million\b|billion\b|bn\b|m\b|k\b)"
+STARTERS = tuple("the this that these those it he she they there here a an in on at for and but his her their its we you i our your".split())
+
+
+def salient_terms(claims, limit: int = 6):
+    """Entities of an array of claims for a follow-up query: quoted strings, runs of proper nouns and measures of each claim, in
+    that order, each once whatever its case. A word that merely starts a sentence is taken off the run."""
+    none = F.array().cast("array<string>")
+
+    def runs(sentence):
+        def one(m, i):
+            first = F.lower(F.substring_index(F.regexp_replace(m, r"\s+", " "), " ", 1))
+            rest = F.when(m.contains(" "), F.regexp_replace(m, r"^\S+ ", "")).otherwise("")
+            return F.when((i == 0) & sentence.startswith(m) & first.isin(*STARTERS), rest).otherwise(m)
+
+        return F.transform(F.regexp_extract_all(sentence, F.lit(PROPER), F.lit(0)), one)
+
+    def of_claim(text):
+        pieces = F.transform(F.split(text, r"(?<=[.!?])\s+"), lambda x: F.trim(x))
+        return F.concat(F.regexp_extract_all(text, F.lit(QUOTED), F.lit(1)), F.flatten(F.transform(pieces, runs)), F.regexp_extract_all(text, F.lit(MEASURE), F.lit(0)))
+
+    found = F.transform(F.flatten(F.transform(F.coalesce(claims, none), lambda t: of_claim(F.coalesce(t, F.lit(""))))), lambda x: F.regexp_replace(x, r"^[ .,;:]+|[ .,;:]+$", ""))
+    kept = F.aggregate(F.filter(found, lambda x: F.char_length(x) > 2), none, lambda acc, x: F.when(F.exists(acc, lambda y: F.lower(y) == F.lower(x)), acc).otherwise(F.array_append(acc, x)))
+    return F.slice(kept, 1, limit)

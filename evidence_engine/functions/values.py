@@ -15,8 +15,8 @@ MONTHS = ("january", "february", "march", "april", "may", "june", "july", "augus
 ORDINALS = {"first": 1, "1st": 1, "second": 2, "2nd": 2, "third": 3, "3rd": 3, "fourth": 4, "4th": 4}
 NUMBER_WORDS = {"zero": 0, "one": 1, "two": 2, "three": 3, "four": 4, "five": 5, "six": 6, "seven": 7, "eight": 8, "nine": 9, "ten": 10, "eleven": 11, "twelve": 12, "thirteen": 13, "fourteen": 14, "fifteen": 15, "sixteen": 16, "seventeen": 17, "eighteen": 18, "nineteen": 19, "twenty": 20, "thirty": 30, "forty": 40, "fifty": 50, "sixty": 60, "seventy": 70, "eighty": 80, "ninety": 90, "hundred": 100}
 
-_MONTH = "(?:" + "|".join(f"{m[:3]}(?:{m[3:]})?" if m != "september" else "sept?(?:ember)?" for m in MONTHS) + ")"
-_MONTH = _MONTH.replace("may(?:)?", "may")
+_MONTH = "(?:jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?|sept?(?:ember)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?)"
+# The forms of quantities, dates and identifiers.
 _SIGN = r"us\$|[$€£¥₹]|(?<![a-z])(?:usd|eur|euros?|gbp|jpy|inr|rs\.?)"
 _AFTER = r"[$€£¥₹]|(?:usd|eur|euros?|gbp|jpy|inr|rs\.?)(?![a-z])"
 _QUANTITY = rf"(?i)({_SIGN})?\s*((?<![\w-])-?\d{{1,3}}(?:,\d{{3}})+(?:\.\d+)?|(?<![\w-])-?\d+(?:\.\d+)?)(?:\s*(thousand|million|billion|trillion|lakh|lac|crore)(?![a-z])|(mm|mn|bn|tn|[kmbt])(?![a-z]))?\s*(%|percent|per\s+cent|{_AFTER})?"
@@ -59,13 +59,28 @@ def _masked(text):
     return F.regexp_replace(text, _IDENTIFIER, " ")
 
 
+def _none():
+    return F.array().cast("array<string>")
+
+
+def _where(text, cheap, found):
+    """found(text) where the cheap pattern occurs at all, else nothing: most sentences hold no value."""
+    text = F.coalesce(text, F.lit(""))
+    return F.when(text.rlike(cheap), found(text)).otherwise(_none())
+
+
+def _matches(text, pattern, names):
+    """Structs of a pattern's groups, one a match. The text is searched once; groups are read from the short matches."""
+    return F.transform(_all(text, pattern, 0), lambda m: F.named_struct(*[x for i, n in enumerate(names, 1) for x in (F.lit(n), F.regexp_extract(m, pattern, i))]))
+
+
 def quantities(text):
     """One canonical token for each quantity, in order."""
-    return let(_masked(F.coalesce(text, F.lit(""))), _quantities)
+    return _where(text, r"\d", lambda t: let(_masked(t), _quantities))
 
 
 def _quantities(text):
-    found = F.arrays_zip(*[_all(text, _QUANTITY, g).alias(n) for g, n in enumerate(("pre", "num", "word", "letter", "post"), 1)])
+    found = _matches(text, _QUANTITY, ("pre", "num", "word", "letter", "post"))
 
     def token(q):
         scale = F.coalesce(_lookup(F.nullif(F.lower(F.concat(q["word"], q["letter"])), F.lit("")), {k: float(v) for k, v in MAGNITUDES.items()}), F.lit(1.0))
@@ -74,8 +89,7 @@ def _quantities(text):
         money = F.coalesce(_lookup(F.nullif(F.lower(F.trim(q["pre"])), F.lit("")), CURRENCIES), _lookup(F.nullif(post, F.lit("")), CURRENCIES))
         return F.when(post.rlike(r"^(%|percent|per\s+cent)$"), F.concat(F.lit("pct:"), value)).when(money.isNotNull(), F.concat(F.lit("money:"), money, F.lit(":"), value)).otherwise(F.concat(F.lit("num:"), value))
 
-    named = F.transform(found, lambda x: F.struct(*[x[f"{n}"].alias(n) for n in ("pre", "num", "word", "letter", "post")]))
-    return F.transform(named, token)
+    return F.transform(found, token)
 
 
 def _month_number(name):
@@ -86,12 +100,12 @@ def _month_number(name):
 def dates(text):
     """Distinct date tokens at every granularity that the text supports; impossible days are left out,
     their month and year kept unless the form was ISO."""
-    return let(F.coalesce(text, F.lit("")), _dates)
+    return _where(text, r"(?i)\d{4}|\bQ[1-4]", _dates)
 
 
 def _dates(text):
     def parts(name, groups):
-        return F.arrays_zip(*[_all(text, _DATES[name], i).alias(g) for i, g in enumerate(groups, 1)])
+        return _matches(text, _DATES[name], groups)
 
     def days(found, keep_month):
         def tokens(x):
@@ -102,10 +116,10 @@ def _dates(text):
         return F.flatten(F.transform(found, tokens))
 
     def iso(x):
-        return F.struct(x["y"].alias("y"), x["m"].alias("m"), x["d"].alias("d"))
+        return F.named_struct(F.lit("y"), x["y"], F.lit("m"), x["m"], F.lit("d"), x["d"])
 
     def named(x):
-        return F.struct(x["y"].alias("y"), _month_number(x["m"]).alias("m"), x["d"].alias("d"))
+        return F.named_struct(F.lit("y"), x["y"], F.lit("m"), _month_number(x["m"]), F.lit("d"), x["d"])
 
     def quarter(q, y):
         return F.array(F.concat(F.lit("quarter:"), y, F.lit("-Q"), q), F.concat(F.lit("year:"), y))
@@ -129,15 +143,12 @@ def word_numbers(text):
     """Numbers written as words; a percent sign behind one adds pct:, a magnitude behind one num: of both."""
     words = "|".join(sorted(NUMBER_WORDS, key=len, reverse=True))
     pattern = rf"(?i)\b({words})\b(?:\s*(%|percent\b|per\s+cent\b)|\s+(hundred|thousand|million|billion|trillion)\b)?"
-    text = F.coalesce(text, F.lit(""))
-    found = F.arrays_zip(_all(text, pattern, 1).alias("w"), _all(text, pattern, 2).alias("p"), _all(text, pattern, 3).alias("s"))
-
     def tokens(x):
         n = _lookup(F.lower(x["w"]), NUMBER_WORDS).cast("long")
         scale = _lookup(F.nullif(F.lower(x["s"]), F.lit("")), {"hundred": 100, "thousand": 10**3, "million": 10**6, "billion": 10**9, "trillion": 10**12}).cast("long")
         return F.filter(F.array(F.concat(F.lit("num:"), n.cast("string")), F.when(x["p"] != "", F.concat(F.lit("pct:"), n.cast("string"))), F.concat(F.lit("num:"), (n * scale).cast("string"))), lambda t: t.isNotNull())
 
-    return F.flatten(F.transform(found, tokens))
+    return _where(text, rf"(?i)\b(?:{words})\b", lambda t: F.flatten(F.transform(_matches(t, pattern, ("w", "p", "s")), tokens)))
 
 
 def source_values(text):

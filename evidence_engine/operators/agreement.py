@@ -5,16 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# How many joint items make a kappa reliable, and the bands of its reading.
+# How many joint items make a kappa reliable, and the bands of its reading by their floors.
 RELIABLE = 100
-BANDS = ((0.0, "poor"), (0.2, "slight"), (0.4, "fair"), (0.6, "moderate"), (0.8, "substantial"))
+BANDS = ((0.81, "almost perfect"), (0.61, "substantial"), (0.41, "moderate"), (0.21, "fair"), (0.01, "slight"))
 
 
 def reading(kappa):
-    out = F.when(kappa < BANDS[0][0], BANDS[0][1])
-    for bound, name in BANDS[1:]:
-        out = out.when(kappa <= bound, name)
-    return F.when(kappa.isNull(), F.lit(None)).otherwise(out.otherwise("almost perfect"))
+    out = F.when(kappa.isNull(), F.lit(None).cast("string"))
+    for floor, name in BANDS:
+        out = out.when(kappa >= floor, name)
+    return out.otherwise("poor")
 
 
 def cohen_kappa(pairs: DataFrame) -> DataFrame:
@@ -25,7 +25,7 @@ def cohen_kappa(pairs: DataFrame) -> DataFrame:
     left, right = table.groupBy(F.col("a").alias("x")).agg(F.sum("n").alias("na")), table.groupBy(F.col("b").alias("y")).agg(F.sum("n").alias("nb"))
     chance = left.join(right, F.col("x") == F.col("y")).agg(F.sum(F.col("na").cast("double") * F.col("nb")).alias("products"))
     out = same.join(F.broadcast(chance)).select(F.coalesce("items", F.lit(0)).cast("long").alias("items"), (F.col("agreed") / F.nullif("items", F.lit(0))).alias("o"), (F.coalesce("products", F.lit(0.0)) / F.nullif(F.col("items").cast("double") * F.col("items"), F.lit(0.0))).alias("e"))
-    kappa = F.when(F.col("e") == 1, 1.0).otherwise((F.col("o") - F.col("e")) / F.nullif(1 - F.col("e"), F.lit(0.0)))
+    kappa = F.when(F.col("e") == 1, F.when(F.col("o") == 1, 1.0).otherwise(0.0)).otherwise((F.col("o") - F.col("e")) / F.nullif(1 - F.col("e"), F.lit(0.0)))
     return out.select("items", F.round("o", 6).alias("observed"), F.round("e", 6).alias("expected"), F.round(kappa, 6).alias("kappa"), (F.col("items") >= RELIABLE).alias("reliable"), reading(kappa).alias("reading"))
 
 

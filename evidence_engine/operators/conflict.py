@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import content_terms, jaccard
 from ..functions.values import source_values
+from .quality import authority, freshness, published_year
 
 # Thresholds by type, and the words of negation, hedging and precision.
 BASE, POLARITY, TYPES = 0.22, 0.34, {"pct": 0.22, "money": 0.22, "date": 0.30, "quarter": 0.30, "num": 0.42}
@@ -30,7 +31,7 @@ def units(evidence: DataFrame) -> DataFrame:
 
 def detect(evidence: DataFrame) -> DataFrame:
     """evidence (source_id, source) -> one row a conflict: kind, source_a, source_b, value_type, value_a, value_b,
-    overlap, excerpt_a, excerpt_b. Of equal conflicts the first sentence pair counts."""
+    overlap, excerpt_a, excerpt_b, shared_terms. Of equal conflicts the first sentence pair counts."""
     u = units(evidence)
     posted = u.select("unit", F.size("terms").alias("n"), F.explode("terms").alias("term"))
     df = posted.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
@@ -55,7 +56,8 @@ def detect(evidence: DataFrame) -> DataFrame:
     kind = F.substring_index("type", ":", 1)
     need = F.coalesce(*[F.when(kind == k, F.lit(v)) for k, v in TYPES.items()], F.lit(BASE))
     typed = typed.filter((F.size("vb") > 0) & ~F.arrays_overlap("va", "vb") & (F.col("overlap") >= need))
-    common = ["unit", "unit2", "overlap", "sentence_a", "sentence_b"]
+    typed, pairs = (x.withColumn("shared", F.array_sort(F.array_intersect("terms_a", "terms_b"))) for x in (typed, pairs))
+    common = ["unit", "unit2", "overlap", "sentence_a", "sentence_b", "shared"]
     value = typed.select(*common, F.lit("value").alias("kind"), "type", F.col("va")[0].alias("value_a"), F.col("vb")[0].alias("value_b"))
     polar = pairs.filter((F.col("negated_a") != F.col("negated_b")) & (F.col("overlap") >= POLARITY) & ~F.arrays_overlap("values_a", "values_b"))
 
@@ -65,7 +67,7 @@ def detect(evidence: DataFrame) -> DataFrame:
     polar = polar.select(*common, F.lit("polarity").alias("kind"), F.lit("polarity").alias("type"), stance("negated_a").alias("value_a"), stance("negated_b").alias("value_b"))
     both = value.unionByName(polar)
     same = Window.partitionBy("unit.source_id", "unit2.source_id", "kind", "type", F.when(F.col("kind") == "value", F.struct("value_a", "value_b"))).orderBy("unit.pos", "unit2.pos")
-    return both.withColumn("r", F.row_number().over(same)).filter("r = 1").select("kind", F.col("unit.source_id").alias("source_a"), F.col("unit2.source_id").alias("source_b"), F.substring_index("type", ":", 1).alias("value_type"), "value_a", "value_b", F.round("overlap", 3).alias("overlap"), F.substring("sentence_a", 1, 220).alias("excerpt_a"), F.substring("sentence_b", 1, 220).alias("excerpt_b"))
+    return both.withColumn("r", F.row_number().over(same)).filter("r = 1").select("kind", F.col("unit.source_id").alias("source_a"), F.col("unit2.source_id").alias("source_b"), F.substring_index("type", ":", 1).alias("value_type"), "value_a", "value_b", F.round("overlap", 3).alias("overlap"), F.substring("sentence_a", 1, 220).alias("excerpt_a"), F.substring("sentence_b", 1, 220).alias("excerpt_b"), F.col("shared").alias("shared_terms"))
 
 
 def specificity(text):
@@ -74,14 +76,85 @@ def specificity(text):
     return F.when(hedged & ~precise, 0.1).when(hedged, 0.45).when(precise, 0.9).otherwise(0.6)
 
 
-def resolve(conflicts: DataFrame, assessed: DataFrame) -> DataFrame:
-    """conflicts of detect(), assessed (source_id, corroboration, authority, freshness) -> both scores, the
-    preferred side, margin and whether it is decisive. Sources that were not assessed are neutral."""
+def _standing(sources: DataFrame | None, assessed: DataFrame, as_of_year: int, sensitive: bool) -> DataFrame:
+    """One row a source: what was assessed, else what its text and address say, else neutral."""
+    known = assessed.select("source_id", *[F.col(c).alias(f"a_{c}") for c in ("corroboration", "authority", "freshness", "published_year", "corroborators")])
+    if sources is not None:
+        year = published_year(F.col("source"), as_of_year)
+        own = sources.select("source_id", F.when(F.coalesce("url", F.lit("")) != "", authority(F.col("url"))).otherwise(0.5).alias("own_authority"), year.alias("own_year"), freshness(year, as_of_year, 1.5 if sensitive else 8.0).alias("own_freshness"))
+        known = own.join(known, "source_id", "full")
+    else:
+        known = known.withColumns({"own_authority": F.lit(0.5), "own_year": F.lit(None).cast("int"), "own_freshness": F.lit(0.6)})
+    there = F.col("a_authority").isNotNull()
+    return known.select("source_id", F.struct(
+        F.coalesce("a_corroboration", F.lit(0.0)).alias("corroboration"), F.coalesce("a_authority", "own_authority").alias("authority"), F.coalesce("a_freshness", "own_freshness").alias("recency"),
+        F.when(there, F.col("a_published_year")).otherwise(F.col("own_year")).alias("year"), F.coalesce("a_corroborators", F.lit(0)).cast("long").alias("corroborators")).alias("standing"))
+
+
+def _reasons(s, firm):
+    """Why a side stands where it does."""
+    return F.array_join(F.filter(F.array(
+        F.when(s["corroborators"] > 0, F.format_string("corroborated by %d other domain(s)", s["corroborators"])),
+        F.when(s["authority"] >= 0.85, "primary or academic publisher").when(s["authority"] <= 0.25, "low-authority publisher"),
+        F.when(s["year"].isNotNull(), F.format_string("dated %d", s["year"])),
+        F.when(firm >= 0.8, "states a precise figure").when(firm <= 0.3, "hedged or imprecise"),
+    ), lambda x: x.isNotNull()), ", ")
+
+
+def resolve(conflicts: DataFrame, assessed: DataFrame, sources: DataFrame | None = None, as_of_year: int = 2024, sensitive: bool = False) -> DataFrame:
+    """conflicts of detect(), assessed of quality.assess(), sources (source_id, source, url) -> both scores and the reasons for
+    them, margin, whether it is decisive, and the preferred side then. A source that wasn't assessed stands by what its own text
+    and address say, neutral where they say nothing. No side is ever dropped."""
+    known = _standing(sources, assessed, as_of_year, sensitive)
     out = conflicts
     for side in "ab":
-        known = assessed.select(F.col("source_id").alias(f"source_{side}"), F.coalesce("corroboration", F.lit(0.0)).alias(f"c_{side}"), F.col("authority").alias(f"u_{side}"), F.col("freshness").alias(f"f_{side}"))
-        out = out.join(known, f"source_{side}", "left")
-        parts = (F.coalesce(f"c_{side}", F.lit(0.0)), F.coalesce(f"u_{side}", F.lit(0.5)), F.coalesce(f"f_{side}", F.lit(0.6)), specificity(F.col(f"excerpt_{side}")))
-        out = out.withColumn(f"score_{side}", F.round(sum(w * p for w, p in zip(WEIGHTS[1:], parts[1:], strict=True)) + WEIGHTS[0] * parts[0], 3)).drop(f"c_{side}", f"u_{side}", f"f_{side}")
+        out = out.join(known.select(F.col("source_id").alias(f"source_{side}"), F.col("standing").alias("s")), f"source_{side}", "left")
+        parts = [F.coalesce(F.col(f"s.{c}"), F.lit(v)) for c, v in (("corroboration", 0.0), ("authority", 0.5), ("recency", 0.6))]
+        firm = specificity(F.col(f"excerpt_{side}"))
+        score = WEIGHTS[1] * parts[1] + WEIGHTS[2] * parts[2] + WEIGHTS[3] * firm + WEIGHTS[0] * parts[0]
+        out = out.withColumn(f"score_{side}", F.round(score, 3)).withColumn(f"reasons_{side}", _reasons(F.col("s"), firm)).drop("s")
     out = out.withColumn("margin", F.round(F.abs(F.col("score_a") - F.col("score_b")), 3))
     return out.withColumn("decisive", F.col("margin") >= DECISIVE).withColumn("preferred", F.when(F.col("margin") >= DECISIVE, F.when(F.col("score_a") > F.col("score_b"), F.col("source_a")).otherwise(F.col("source_b"))))
+
+
+# ---- reports -----------------------------------------------------------------------------------------
+
+
+def readable(token):
+    """A canonical value as one would write it."""
+    parts = F.split(token, ":")
+    return F.when(token.startswith("pct:"), F.concat(parts[1], F.lit("%"))).when(token.startswith("money:"), F.concat(F.element_at(parts, 3), F.lit(" "), parts[1])).otherwise(F.element_at(parts, -1))
+
+
+def _cite(c):
+    return F.concat(F.lit("["), F.col(c), F.lit("]"))
+
+
+def described(conflicts: DataFrame) -> DataFrame:
+    """conflicts plus description: who disagrees about what, in a sentence."""
+    what = F.coalesce(F.nullif(F.array_join(F.slice("shared_terms", 1, 5), ", "), F.lit("")), F.lit("the same subject"))
+    polar = F.concat(_cite("source_a"), F.lit(" and "), _cite("source_b"), F.lit(" disagree on whether "), what, F.lit(" holds."))
+    value = F.concat(_cite("source_a"), F.lit(" and "), _cite("source_b"), F.lit(" give different "), F.col("value_type"), F.lit(" values for "), what, F.lit(": "), readable(F.col("value_a")), F.lit(" vs "), readable(F.col("value_b")), F.lit("."))
+    return conflicts.withColumn("description", F.when(F.col("kind") == "polarity", polar).otherwise(value))
+
+
+def described_resolutions(resolved: DataFrame) -> DataFrame:
+    """Rows of resolve() plus description: the conflict, and which side is better supported and why, or that neither is."""
+    first = F.col("score_a") >= F.col("score_b")
+    best, rest, why = F.when(first, _cite("source_a")).otherwise(_cite("source_b")), F.when(first, _cite("source_b")).otherwise(_cite("source_a")), F.when(first, F.col("reasons_a")).otherwise(F.col("reasons_b"))
+    firm = F.concat(F.lit(" "), best, F.lit(" is better supported ("), F.coalesce(F.nullif(why, F.lit("")), F.lit("higher combined standing")), F.lit("); "), rest, F.lit(" is retained but ranked lower."))
+    open_ = F.concat(F.lit(" The signals do not separate these sources (margin "), F.format_string("%.2f", "margin"), F.lit("); both are reported."))
+    return described(resolved).withColumn("description", F.concat("description", F.when(F.col("decisive"), firm).otherwise(open_)))
+
+
+def conflict_summary(conflicts: DataFrame) -> DataFrame:
+    """One row: contradictions and distinct pairs of sources."""
+    return conflicts.agg(F.count(F.lit(1)).alias("contradictions"), F.countDistinct("source_a", "source_b").alias("pairs"))
+
+
+def prompt_block(described_conflicts: DataFrame, limit: int = 6) -> DataFrame:
+    """One row, block: the first conflicts by their sources with both excerpts, for a prompt; empty without any."""
+    lines = F.concat(F.lit("- "), F.col("description"), F.lit("\n    "), _cite("source_a"), F.lit(" "), F.col("excerpt_a"), F.lit("\n    "), _cite("source_b"), F.lit(" "), F.col("excerpt_b"))
+    few = described_conflicts.orderBy("source_a", "source_b", "kind", "value_type").limit(limit).select(F.struct("source_a", "source_b", "kind", "value_type", lines.alias("line")).alias("x"))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["line"]), "\n")
+    return few.agg(F.when(F.count(F.lit(1)) > 0, F.concat(F.lit("CONTRADICTIONS: sources disagree. Attribute each figure to its source and report both sides.\n"), text)).otherwise("").alias("block"))

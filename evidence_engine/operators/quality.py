@@ -43,15 +43,46 @@ def freshness(year, as_of_year, half_life):
     return F.when(year.isNull(), 0.6).otherwise(F.round(F.exp(-age * math.log(2) / half_life), 3))
 
 
-def assess(evidence: DataFrame, as_of_year: int, time_sensitive: bool = False) -> DataFrame:
-    """evidence (source_id, url, source) -> source_id, domain, authority, freshness, corroborators, corroboration,
-    quality. A domain corroborates a source with which it shares at least two values: an equi-join on
+def time_sensitive(question):
+    """Does a question ask for what is current?"""
+    return F.coalesce(question, F.lit("")).rlike(TIME_SENSITIVE)
+
+
+def assess(evidence: DataFrame, as_of_year: int, sensitive: bool = False) -> DataFrame:
+    """evidence (source_id, url, source) -> source_id, domain, authority, freshness, published_year, corroborators,
+    corroboration, quality. A domain corroborates a source with which it shares at least two values: an equi-join on
     distinct (domain, value), so the values of one domain are counted before they are joined."""
-    e = evidence.select("source_id", registrable_domain(F.col("url")).alias("domain"), authority(F.col("url")).alias("authority"), freshness(published_year(F.col("source"), as_of_year), as_of_year, 1.5 if time_sensitive else 8.0).alias("freshness"), source_values(F.col("source")).alias("values"))
+    year = published_year(F.col("source"), as_of_year)
+    e = evidence.select("source_id", registrable_domain(F.col("url")).alias("domain"), authority(F.col("url")).alias("authority"), year.alias("published_year"), source_values(F.col("source")).alias("values"))
+    e = e.withColumn("freshness", freshness(F.col("published_year"), as_of_year, 1.5 if sensitive else 8.0))
     own = e.select("source_id", "domain", F.explode("values").alias("value"))
     of_domain = own.select(F.col("domain").alias("other"), "value").distinct()
     met = own.join(of_domain, "value").filter("domain <> other").groupBy("source_id", "other").agg(F.count(F.lit(1)).alias("n")).filter("n >= 2")
     backed = met.groupBy("source_id").agg(F.count(F.lit(1)).alias("n_other"))
     out = e.join(backed, "source_id", "left").withColumn("corroborators", F.coalesce("n_other", F.lit(0)).cast("long"))
     out = out.withColumn("corroboration", F.least(F.lit(1.0), F.col("corroborators") / 2))
-    return out.withColumn("quality", F.round(0.45 * F.col("authority") + 0.25 * F.col("freshness") + 0.30 * F.col("corroboration"), 3)).select("source_id", "domain", "authority", "freshness", "corroborators", "corroboration", "quality")
+    return out.withColumn("quality", F.round(0.45 * F.col("authority") + 0.25 * F.col("freshness") + 0.30 * F.col("corroboration"), 3)).select("source_id", "domain", "authority", "freshness", "published_year", "corroborators", "corroboration", "quality")
+
+
+def quality_report(assessed: DataFrame, runs: DataFrame, sensitive: bool = False, min_authority: float = 0.3, min_domains: int = 2) -> DataFrame:
+    """Rows of assess(), runs (run_id, source_id) -> one row a run: sources, mean authority, distinct domains, diversity, and warnings:
+    few domains, weak publishers, stale where the question asks for what is current, figures that nobody else has."""
+    a = runs.join(assessed, "source_id")
+    weak, stale, alone = F.col("authority") <= min_authority, F.col("published_year").isNotNull() & (F.col("freshness") < 0.4), F.col("corroborators") == 0
+
+    def names(when=F.lit(True)):
+        return F.array_join(F.array_sort(F.collect_set(F.when(when, F.col("domain")))), ", ")
+
+    def number(condition):
+        return F.sum(condition.cast("long"))
+
+    g = a.groupBy("run_id").agg(
+        F.count(F.lit(1)).alias("sources"), F.round(F.avg("authority"), 3).alias("mean_authority"), F.countDistinct("domain").alias("domains"), names().alias("_all"),
+        number(weak).alias("_weak"), names(weak).alias("_weak_names"), number(stale).alias("_stale"), F.min(F.when(stale, F.col("published_year"))).alias("_oldest"), number(alone).alias("_alone"),
+    )
+    few = F.when((F.col("domains") < min_domains) & (F.col("sources") > 1), F.format_string("%d web sources come from %d domain(s) (%s); corroboration is limited", "sources", "domains", "_all"))
+    poor = F.when(F.col("_weak") > 0, F.format_string("%d web source(s) are from low-authority domains: %s", "_weak", "_weak_names"))
+    old = F.when(F.lit(sensitive) & (F.col("_stale") > 0), F.format_string("current information is asked for, but %d source(s) seem to date from %d or earlier", "_stale", "_oldest"))
+    single = F.when((F.col("_alone") > 0) & (F.col("domains") >= min_domains), F.format_string("%d web source(s) report figures that no other domain confirms", "_alone"))
+    warnings = F.filter(F.array(few, poor, old, single), lambda x: x.isNotNull())
+    return g.select("run_id", "sources", "mean_authority", "domains", F.round(F.col("domains") / F.col("sources"), 3).alias("diversity"), warnings.alias("warnings"))

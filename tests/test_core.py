@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from evidence_engine.functions import text, values
-from evidence_engine.operators import agreement, governance, retrieval
-from evidence_engine.plans import queries, research
+from evidence_engine.operators import agreement, conflict, governance, quality, retrieval
+from evidence_engine.plans import queries
 from evidence_engine.sources import ingest
 
 SF = "/root/testdata/sf0.001"
@@ -39,6 +39,8 @@ def test_unsupported(spark, claim, source, missing):
 
 
 def test_text(spark):
+    assert one(spark, text.sentences(F.lit("First one.  Second [S1]. Third\n 4 five "))) == ["First one.", "Second [S1].", "Third", "4 five"]
+    assert one(spark, text.clean(F.lit("re-\nport  of\tthe\r\n\n\n\n day "))) == "report of the\n\nday"
     assert one(spark, text.analyze(F.lit("The policies of Running dogs"))) == ["policy", "runn", "dogs"]
     assert one(spark, text.citations(F.lit("a [S1, w2] b [H0]"))) == ["S1", "W2", "H0"]
     assert one(spark, text.registrable_domain(F.lit("https://www.a.b.co.uk/x"))) == "b.co.uk"
@@ -58,16 +60,12 @@ def test_breaker_reopens_after_a_failed_probe():
     assert seen == ["failed", "failed", "failed", "skipped", "failed", "skipped", "ok"]
 
 
-def test_plan_cuts_cycles_and_depth():
-    q = research.Question
-    plan = research.validate([q(0, "a"), q(1, "b", (0,)), q(2, "c", (1,)), q(3, "d", (2,)), q(4, "e", (5,)), q(5, "f", (4,))])
-    assert [x.id for x in plan.questions] == [0, 1, 2] and len(plan.warnings) == 3
-
-
 def test_tables_and_chunks(spark):
     docs = spark.createDataFrame([(1, "Sales\nName | Total\n---|---\na | 1\nb | 2"), (2, "prose | only once"), (3, None)], "doc_id long, text string")
     rows = ingest.table_rows(docs).collect()
     assert [(r.doc_id, r.headers, r.cells, r.caption) for r in rows] == [(1, ["Name", "Total"], ["a", "1"], "Sales"), (1, ["Name", "Total"], ["b", "2"], "Sales")]
+    wide = ingest.table_rows(spark.createDataFrame([(1, "Area     Total   Share\nEast     250   9%\nWest     10   1%\n")], "doc_id long, text string")).orderBy("row_index").collect()
+    assert [r.text for r in wide] == ["Area: East | Total: 250 | Share: 9%", "Area: West | Total: 10 | Share: 1%"] and wide[0].caption == ""
     packed = ingest.chunks(spark.createDataFrame([(1, "aaaa\n\nbbbb\n\n" + "c" * 100)], "doc_id long, text string"), size=10, overlap=2)
     assert [r.text[:10] for r in packed.orderBy("ordinal").collect()] == ["aaaa\n\nbbbb", "c" * 10, "c" * 10, "c" * 10, "c" * 4] or packed.count() >= 4
 
@@ -79,6 +77,35 @@ def test_denied_documents_change_no_score(spark):
     assert retrieval.bm25(seen, items, 5).orderBy("rank").collect() == retrieval.bm25(docs.join(seen.select("doc_id"), "doc_id"), items, 5).orderBy("rank").collect()
 
 
+def test_word_numbers_magnitudes_and_formats(spark):
+    assert one(spark, values.word_numbers(F.lit("four hundred of Twelve percent, three million"))) == ["num:4", "num:400", "num:12", "pct:12", "num:3", "num:3000000"]
+    assert one(spark, values.quantities(F.lit("2 lakh, 3 crore, 1.5k, 7bn, Rs 412, 0.123456789 GBP, 1,234.50"))) == ["num:200000", "num:30000000", "num:1500", "num:7000000000", "money:INR:412", "money:GBP:0.123457", "num:1234.5"]
+    assert set(one(spark, values.dates(F.lit("March 3, 2021; first quarter of 2020; 2022 Q4; Q3; June 1999; FY2018; February 30, 2020")))) == {"date:2021-03-03", "month:2021-03", "year:2021", "quarter:2020-Q1", "year:2020", "quarter:2022-Q4", "year:2022", "quarter:Q3", "month:1999-06", "year:1999", "fy:2018", "year:2018", "month:2020-02"}
+    assert one(spark, values.required_values(F.lit("no value here"))) == [] and one(spark, values.source_values(F.lit(None).cast("string"))) == []
+
+
+def test_polarity_conflicts_and_resolution(spark):
+    e = spark.createDataFrame([("S1", "The harbour bridge project was approved by the city council board.", None), ("S2", "The harbour bridge project was not approved by the city council board. Published: 2024.", "https://x.gov/a")], "source_id string, source string, url string")
+    found = conflict.detect(e)
+    assert [(r.kind, r.value_a, r.value_b) for r in found.collect()] == [("polarity", "asserted", "denied")]
+    none = quality.assess(e.limit(0), 2024)
+    r = conflict.described_resolutions(conflict.resolve(found, none, e)).first()
+    assert (r.score_a, r.score_b, r.preferred) == (0.33, 0.552, "S2") and r.reasons_b == "primary or academic publisher, dated 2024"
+    assert "[S1] and [S2] disagree on whether" in r.description and "[S2] is better supported" in r.description
+    assert "CONTRADICTIONS" in conflict.prompt_block(conflict.described(found)).first().block and conflict.prompt_block(conflict.described(found.limit(0))).first().block == ""
+
+
+def test_freshness_authority_and_year(spark):
+    assert [one(spark, quality.freshness(F.lit(y).cast("int"), 2024, 8.0)) for y in (2024, 2016, None)] == [1.0, 0.5, 0.6]
+    assert one(spark, quality.published_year(F.lit("Updated: May 3, 2021. On 2019-01-02 and 2099-01-01."), 2024)) == 2021
+    urls = {"https://www.nasa.gov/x": 1.0, "http://cs.mit.edu": 0.9, "https://docs.python.org/3/": 0.75, "http://myblog.wordpress.com": 0.2, "": 0.45, None: 0.45}
+    assert [one(spark, quality.authority(F.lit(u).cast("string"))) for u in urls] == list(urls.values())
+
+
+def test_kappa_reading(spark):
+    assert [one(spark, agreement.reading(F.lit(k).cast("double"))) for k in (0.81, 0.8, 0.41, 0.005, -0.2, None)] == ["almost perfect", "substantial", "moderate", "poor", "poor", None]
+
+
 def test_kappa_of_no_labels_is_null(spark):
     assert agreement.cohen_kappa(spark.createDataFrame([], "a int, b int")).first().kappa is None
 
