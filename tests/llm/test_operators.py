@@ -10,6 +10,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pyarrow as pa
 import pytest
@@ -179,18 +180,23 @@ def test_lm(docs, none):
     assert lm.lm_scores(none, path, public_tokenizers.PATTERN).count() == 0
 
 
+RAW = type("Shared", (), {"value": open(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "rb").read()})
+
+
 def test_lm_counts_survive_a_flush_on_the_last_run(monkeypatch):
-    with open(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "rb") as f:
-        raw = type("Shared", (), {"value": f.read()})
     batch = pa.RecordBatch.from_arrays([pa.array(["one two two", None, "three"])], ["text"])
 
     def counted():
-        return {p: np.frombuffer(c, np.int64).sum() for b in lm._count_rows(raw, public_tokenizers.PATTERN)([batch]) for p, c in zip(b.column("p").to_pylist(), b.column("counts").to_pylist(), strict=True)}
+        out = Counter()
+        for b in lm._count_rows(RAW, public_tokenizers.PATTERN)([batch]):
+            for p, c in zip(b.column("p").to_pylist(), b.column("counts").to_pylist(), strict=True):
+                out[p] += np.frombuffer(c, np.int64).sum()
+        return {p: c for p, c in out.items() if c}
 
     whole = counted()
     monkeypatch.setattr(lm, "_MERGE", 1)
     monkeypatch.setattr(lm, "_FLUSH", 1)
-    assert counted() == whole and whole[lm.RANGES + 17] == 3
+    assert counted() == whole and whole[lm.TEXTS] == 3 and whole[lm.FIRST] == 4 + 3 and sum(c for p, c in whole.items() if p < lm.RANGES) == 4
 
 
 def test_attention_head_learns_from_every_training_text(spark, monkeypatch):
@@ -204,22 +210,77 @@ def test_attention_head_learns_from_every_training_text(spark, monkeypatch):
 
     weights, score = [], lm._score_rows
     monkeypatch.setattr(lm, "_train_rows", numbers)
-    monkeypatch.setattr(lm, "_score_rows", lambda raw, pattern, shared: weights.append(shared.value[4]) or score(raw, pattern, shared))
+    monkeypatch.setattr(lm, "_score_rows", lambda raw, pattern, shared: weights.append(shared.value[1]) or score(raw, pattern, shared))
     df = spark.createDataFrame([(i, str(i)) for i in range(100)], "doc_id long, text string")
     lm.lm_scores(df, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
     assert set(np.flatnonzero(weights[0] == 2)) == {i for i in range(100) if zlib.crc32(str(i).encode()) % 7 != 2}
 
 
-def test_attention_is_causal_and_normalised():
+def _head():
     r = np.random.default_rng(0)
-    table = r.normal(size=(50, lm.CLASSES)).astype(np.float32)
-    params = lm.start_params() | {"out": r.normal(size=(lm.WIDTH, lm.CLASSES)).astype(np.float32)}
-    projected = lm.embeddings(table) @ params["w"]
-    x = r.integers(0, 50, (1, lm.INPUTS))
-    y = x.copy()
-    y[0, -1] = (y[0, -1] + 1) % 50
-    a, b = (lm.log_class(table, projected, params, z) for z in (x, y))
-    assert np.allclose(a[:-1], b[:-1]) and np.allclose(np.exp(a).sum(axis=1), 1, atol=1e-4)
+    vectors = r.normal(size=(50, lm.WIDTH)).astype(np.float32)
+    params = lm.start_params(np.full(lm.CLASSES, 1 / lm.CLASSES)) | {"out": r.normal(size=(2 * lm.WIDTH, lm.CLASSES)).astype(np.float32), "near": r.normal(size=lm.INPUTS).astype(np.float32)}
+    return r, vectors, params
+
+
+def test_attention_is_normalised_and_blind_to_what_follows():
+    r, vectors, params = _head()
+    ids = np.concatenate([r.integers(0, 48, 40), [48], r.integers(0, 48, 5), [48]]).astype(np.int32)
+    run = lm.Run(ids, np.array([0, 41, 47]), np.arange(47), np.repeat([0, 1], [41, 6]), np.ones(47, np.int64))
+    before = lm.windows(run, slice(0, 47), 49)
+    assert (before[0] == 49).all() and (before[41] == 49).all() and before[43].tolist() == [49] * 14 + ids[41:43].tolist() and before[20].tolist() == ids[4:20].tolist()
+    logs = lm.log_classes(vectors, params, 49, before)
+    changed = ids.copy()
+    changed[30:] = (changed[30:] + 1) % 48
+    assert np.allclose(logs[:31], lm.log_classes(vectors, params, 49, lm.windows(run._replace(ids=changed), slice(0, 31), 49)))
+    assert np.allclose(np.exp(logs).sum(axis=1), 1, atol=1e-4)
+
+
+def test_gradients_equal_differences():
+    r, vectors, params = _head()
+    inputs, goal = r.integers(0, 50, (6, lm.INPUTS)), r.integers(0, lm.CLASSES, 6)
+    params = {k: v.astype(np.float64) for k, v in params.items()}
+    loss = lambda p: -lm.log_classes(vectors.astype(np.float64), p, 49, inputs)[np.arange(6), goal].mean()
+    moments = {k: [np.zeros(s), np.zeros(s)] for k, s in lm._SHAPES.items()}
+    lm.train_step(vectors.astype(np.float64), {k: v.copy() for k, v in params.items()}, moments, 49, inputs, goal, 1)
+    for name in params:
+        at = tuple(r.integers(0, n) for n in params[name].shape)
+        up, down = ({k: v.copy() for k, v in params.items()} for _ in range(2))
+        up[name][at] += 1e-4
+        down[name][at] -= 1e-4
+        assert math.isclose((loss(up) - loss(down)) / 2e-4, moments[name][0][at] / 0.1, rel_tol=2e-3, abs_tol=1e-5)
+
+
+def test_continuations_are_a_distribution():
+    r = np.random.default_rng(2)
+    words = [r.integers(0, 6, r.integers(1, 5)).astype(np.int32) for _ in range(400)]
+    ids, sizes = np.concatenate(words), np.array([len(w) for w in words])
+    end, size = 9, 9
+    ctx, edge, follows = lm.continuations(ids, sizes, end)
+    blob = lambda level: pd.DataFrame({"keys": [edge[level].tobytes()], "others": [ctx[level].tobytes()], "counts": [np.ones(len(ids), np.int64).tobytes()]})
+    parts = [lm._sum_range((lm.TRIE,), blob(level)).iloc[0] for level in range(2)]
+    table = [np.concatenate([np.frombuffer(p[c], np.uint64 if c.endswith("keys") else np.float64) for p in parts]) for c in ("head_keys", "head_values", "ctx_keys", "ctx_values")]
+    for i in (0, 2):
+        order = np.argsort(table[i])
+        table[i], table[i + 1] = table[i][order], table[i + 1][order]
+    later = np.where(np.arange(size + 1) < 7, 0.1, 0)
+    later[end] = 0.3
+    tail = lm._tail_of(*table, later)
+    for word in ([1], [2, 3], [5, 5, 5, 5, 5]):  # known and unknown beginnings: what may follow them has probability 1 together
+        total = 0.0
+        for nxt in [*range(7), end]:
+            longer = np.array([*word, nxt] if nxt != end else word, np.int32)
+            c, e, f = lm.continuations(longer, np.array([len(longer)]), end)
+            total += math.exp(tail(c[:, len(word) - 1 : len(word)], e[:, len(word) - 1 : len(word)], f[len(word) - 1 : len(word)])[0])
+        assert math.isclose(total, 1, rel_tol=1e-9)
+
+
+def test_lm_beats_word_counts_on_held_out_texts(spark):
+    r = np.random.default_rng(3)
+    stock = {lang: ["".join(r.choice(list(letters), 6)) for _ in range(300)] for lang, letters in (("a", "abcdefgh"), ("b", "mnopqrst"))}
+    texts = [" ".join(r.choice(stock["ab"[i % 2]], 60)) for i in range(600)]
+    rows = lm.lm_scores(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN).filter("held_out").toPandas()
+    assert rows.score.mean() > rows.base_score.mean() + 3
 
 
 def test_fingerprints(docs, none):
