@@ -21,7 +21,7 @@ import pyarrow.compute  # noqa: F401
 import regex
 from pyspark.sql import DataFrame
 
-from .common import plain, settle
+from .common import freed, plain, settle
 
 #: White space as Unicode has it (fixed values); Python's own class also holds U+001C to U+001F.
 SPACE = "\t-\r \x85\xa0  -     　"
@@ -252,6 +252,8 @@ class _Bytes:
 
     def decode(self, ids, counts):
         """An Arrow column of the bytes of each list of ids, the lists laid end to end."""
+        if len(ids) and not (0 <= ids.min() and ids.max() < len(self.size) and self.size[ids].min() > 0):
+            raise ValueError("an id that the vocabulary lacks")
         n = self.size[ids]
         upto = np.concatenate([[0], np.cumsum(n)])
         data = self.data[np.repeat(self.start[ids] - upto[:-1], n) + np.arange(upto[-1])]
@@ -298,7 +300,7 @@ def _encoded(docs, rank_file, pattern, held, decoding):
     with open(rank_file, "rb") as f:
         raw = docs.sparkSession.sparkContext.broadcast(f.read())
     docs = plain(docs, "doc_id", "text")
-    return docs.mapInArrow(_encode(raw, pattern, held, decoding), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ids array<int>" + ", decoded binary" * decoding)
+    return docs.mapInArrow(freed(_encode(raw, pattern, held, decoding)), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ids array<int>" + ", decoded binary" * decoding)
 
 
 def encode(docs: DataFrame, rank_file: str, pattern: str, held: int = 200_000) -> DataFrame:
@@ -324,4 +326,4 @@ def decode(encoded: DataFrame, rank_file: str) -> DataFrame:
     with open(rank_file, "rb") as f:
         raw = encoded.sparkSession.sparkContext.broadcast(f.read())
     encoded = plain(encoded, "doc_id", "ids")
-    return encoded.mapInArrow(_decode(raw), f"doc_id {encoded.schema['doc_id'].dataType.simpleString()}, ids array<int>, decoded binary")
+    return encoded.mapInArrow(freed(_decode(raw)), f"doc_id {encoded.schema['doc_id'].dataType.simpleString()}, ids array<int>, decoded binary")

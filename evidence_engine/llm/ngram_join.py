@@ -4,7 +4,7 @@ Texts with equal shingle sets form one class. Classes with a similarity of at le
 are linked, and a document's component is what its links reach. The join is the prefix-filter
 join: each class orders its shingles rare-first, and two similar classes must share one of the
 first n - ceil(t * n) + 1. Length and positional filters cut candidates where postings meet, a
-suffix filter cuts them before the sets are compared, and each pair is compared once.
+suffix filter cuts them before the sets are compared, and a pair that a round has compared is left out of the next.
 
 Large groups of near copies would make a pair of every two members. Only reachability counts, so
 two rounds first compare each class with a few hubs that it shares postings with, and the last round compares
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tokens as T
-from .common import keep, merged, plain, settle
+from .common import freed, keep, merged, plain, settle
 from .components import components
 
 #: The rare-first order knows a shingle's document frequency by powers of two from 4 up; 2**24 cells
@@ -221,7 +221,7 @@ def ngram_jaccard_join(docs: DataFrame, percent: int = 80) -> DataFrame:
     """
     settle(docs.sparkSession)
     spark, docs = docs.sparkSession, plain(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
-    classes = keep(docs.mapInArrow(lambda b: _class_rows(b, percent), "doc_id long, n_shingles long, cls long, " + ", ".join(f"{c} long" for c in SKETCH)), "classes")
+    classes = keep(docs.mapInArrow(freed(lambda b: _class_rows(b, percent)), "doc_id long, n_shingles long, cls long, " + ", ".join(f"{c} long" for c in SKETCH)), "classes")
     labels = _linked_classes(spark, docs.select("doc_id", "text"), classes, percent)
     known = classes.filter("cls is not null")
     if labels is not None:
@@ -243,13 +243,13 @@ def _linked_classes(spark, docs, classes, percent):
     context = spark.sparkContext
     bits = min(CELL_BITS, max(10, math.ceil(math.log2(total / 2**22 + 1))))
     texts = docs.select("text")
-    cells = texts.mapInArrow(_frequency_entries(bits), "p long, k binary").groupBy("p").applyInPandas(_frequency_cells(bits), "p long, cells binary")
+    cells = texts.mapInArrow(freed(_frequency_entries(bits)), "p long, k binary").groupBy("p").applyInPandas(_frequency_cells(bits), "p long, cells binary")
     order = np.zeros(1 << CELL_BITS, dtype=np.uint8)
     width = 1 << (CELL_BITS - bits)
     for row in cells.toLocalIterator():
         order[row.p * width : (row.p + 1) * width] = np.frombuffer(zlib.decompress(row.cells), np.uint8)
     order_of = context.broadcast(zlib.compress(order.tobytes(), 1))
-    entries = texts.mapInArrow(_prefix_entries(bits, percent, order_of), "p long, k binary, cls binary, n binary, pos binary")
+    entries = texts.mapInArrow(freed(_prefix_entries(bits, percent, order_of)), "p long, k binary, cls binary, n binary, pos binary")
     post = keep(entries.groupBy("p").applyInPandas(_postings(bits), "key long, cls long, n int, pos int"), "postings")
 
     links, labels, compared = None, None, None
@@ -315,11 +315,11 @@ def _sets_of(texts, wanted):
     for row in slices.collect():  # at most 64 slices of 32 KB
         bitmap[row.p << 15 : (row.p + 1) << 15] = np.frombuffer(zlib.decompress(row.b), np.uint8)
     shared = texts.sparkSession.sparkContext.broadcast(zlib.compress(bitmap.tobytes(), 1))
-    return keep(texts.mapInArrow(_set_rows(shared), "cls long, shingles binary").groupBy("cls").agg(F.first("shingles").alias("shingles")), "sets")
+    return keep(texts.mapInArrow(freed(_set_rows(shared)), "cls long, shingles binary").groupBy("cls").agg(F.first("shingles").alias("shingles")), "sets")
 
 
 def _verified(pairs, texts, percent):
     sets = _sets_of(texts, pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct())
     one = pairs.join(sets.withColumnRenamed("shingles", "x"), F.col("a") == F.col("cls")).select("a", "b", "x")
     two = one.join(sets.withColumnRenamed("shingles", "y"), F.col("b") == F.col("cls")).select("a", "b", "x", "y")
-    return two.mapInArrow(_similar(percent), "a long, b long")
+    return two.mapInArrow(freed(_similar(percent)), "a long, b long")
