@@ -153,7 +153,7 @@ def agreement_report(labels: DataFrame) -> DataFrame:
     if raters < 2:
         return both.agg(F.lit(None).cast("string").alias("method"), F.lit(None).cast("double").alias("kappa"), F.lit(0).cast("long").alias("items"), F.lit(raters).cast("long").alias("annotators"))
     if raters == 2:
-        k = cohen_kappa(both.select(F.col("labels")[0].alias("a"), F.col("labels")[1].alias("b"))).select("kappa", "items")
+        k = cohen_kappa(both.select(F.get("labels", F.lit(0)).alias("a"), F.get("labels", F.lit(1)).alias("b"))).select("kappa", "items")
     else:
         k = fleiss_kappa(both.select(F.col("item_id").alias("item"), F.explode("labels").alias("label"))).select("kappa", "items")
     return k.select(F.lit("cohen" if raters == 2 else "fleiss").alias("method"), F.round("kappa", 3).alias("kappa"), "items", F.lit(raters).cast("long").alias("annotators"))

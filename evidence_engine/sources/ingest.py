@@ -23,7 +23,8 @@ def decoded(content):
 
 
 def read_files(spark: SparkSession, path: str, pattern: str = "*.{txt,md,pdf}", pdf: Callable[[bytes], list[str]] | None = None, cleaned: bool = False) -> DataFrame:
-    """Files below a folder -> doc_name, pages, error; a file that can't be read has the one page "(unreadable)" and says why.
+    """Files below a folder -> doc_name, pages, error; a file that can't be read has the one page "(unreadable)" and says why; files
+    of no bytes are left out by Spark's reader.
 
     `pdf` turns a file's bytes into its pages; without it pypdf is used where it is installed. cleaned: texts as clean()
     leaves them, which takes the wide gaps out of fixed-width tables."""

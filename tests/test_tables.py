@@ -1,8 +1,9 @@
 """Operators over small tables: files, the web, records, caches, evaluation, access, and their streaming forms."""
 
 import json
+from datetime import datetime
+
 
-import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -23,17 +24,17 @@ def test_files_of_any_encoding_and_bad_ones(spark, tmp_path):
     (tmp_path / "sub" / "b.md").write_bytes("caf\xe9".encode("utf-16"))
     (tmp_path / "c.txt").write_bytes(b"caf\xe9")
     (tmp_path / "d.pdf").write_bytes(b"one|two")
-    (tmp_path / "e.pdf").write_bytes(b"")
+    (tmp_path / "e.pdf").write_bytes(b"bad")
     (tmp_path / "f.bin").write_bytes(b"x")
 
     def pdf(content):
-        if not content:
-            raise ValueError("empty file")
+        if content == b"bad":
+            raise ValueError("no pages")
         return content.decode().split("|")
 
     got = ingest.read_files(spark, str(tmp_path), pdf=pdf).collect()
     assert [(r.doc_name, r.pages) for r in got] == [("a.txt", ["caf\xe9"]), ("b.md", ["caf\xe9"]), ("c.txt", ["caf\xe9"]), ("d.pdf", ["one", "two"]), ("e.pdf", ["(unreadable)"])]
-    assert got[4].error == "ValueError: empty file" and got[0].error is None
+    assert got[4].error == "ValueError: no pages" and got[0].error is None
     assert ingest.document_rows(ingest.read_files(spark, str(tmp_path), pdf=pdf)).filter("doc_name = 'd.pdf'").count() == 2
 
 
@@ -259,7 +260,7 @@ def test_stream_of_audit_records_goes_on_from_the_tail(spark, tmp_path):
 
 def test_streams_of_evidence_texts_and_callbacks(spark, tmp_path):
     schema = "run_id int, source_id string, at timestamp, text string"
-    df = spark.createDataFrame([(1, "S1", pd.Timestamp("2024-01-01"), "a"), (1, "S1", pd.Timestamp("2024-01-01 00:01"), "b"), (2, "S1", pd.Timestamp("2024-01-01"), "c")], schema)
+    df = spark.createDataFrame([(1, "S1", datetime(2024, 1, 1), "a"), (1, "S1", datetime(2024, 1, 1, 0, 1), "b"), (2, "S1", datetime(2024, 1, 1), "c")], schema)
     s = stream(spark, tmp_path, df, schema, 1)
     assert run(live.ledger_stream(s), tmp_path).count() == 2
     cached = df.filter("text = 'a'").select(records.text_key(F.col("text")).alias("text_key"))
