@@ -77,5 +77,41 @@ def op10_vector_shards(spark, sf_dir):
     return vector_shards(table(spark, sf_dir, "documents"))
 
 
+# ---- what SQL can say of the operators: the columns that the method doesn't decide -------------------
+
+
+def license_base(spark, sf_dir):
+    return op1_license_scan(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
+def mix_base(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    return op2_mix_sources(spark, sf_dir).select("doc_id", "size", "source_size", F.round("target", 4).alias("target"))
+
+
+def lm_base(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    return op5_lm_scoring(spark, sf_dir).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 4).alias("base_score"))
+
+
+def fingerprint_base(spark, sf_dir):
+    return op6_document_fingerprints(spark, sf_dir).select("doc_id", "n_chars", "edited_sha256")
+
+
+def shard_base(spark, sf_dir):
+    """Of each shard: whether its slots run from 0 without gaps, and of all its rows the sum of sizes over all shards."""
+    from pyspark.sql import functions as F
+
+    s = op10_vector_shards(spark, sf_dir)
+    per = s.groupBy("shard").agg(F.count(F.lit(1)).alias("n"), F.min("slot").alias("lo"), F.max("slot").alias("hi"), F.countDistinct("slot").alias("slots"), F.sum("size").alias("bytes"))
+    gapless = (F.col("lo") == 0) & (F.col("hi") == F.col("n") - 1) & (F.col("slots") == F.col("n"))
+    return per.agg(F.count(F.lit(1)).alias("shards"), F.sum("n").alias("rows"), F.sum("bytes").alias("bytes"), F.min(gapless).alias("gapless"))
+
+
+BASES = (license_base, mix_base, lm_base, fingerprint_base, shard_base)
+
+
 def queries():
-    return {name: f for name, f in globals().items() if name.startswith("op")}
+    return {name: f for name, f in globals().items() if name.startswith("op")} | {f.__name__: f for f in BASES}
