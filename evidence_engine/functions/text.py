@@ -68,7 +68,7 @@ def token_windows(text, size, overlap):
 
 
 def sentences(text):
-    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), SENTENCE), F.trim), lambda s: s != "")
+    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), SENTENCE), lambda s: F.trim(s)), lambda s: s != "")
 
 
 def citations(text):

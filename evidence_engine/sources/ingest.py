@@ -64,6 +64,15 @@ def document_rows(files: DataFrame) -> DataFrame:
     return files.select("doc_name", F.posexplode("pages").alias("p", "text")).select("doc_name", (F.col("p") + 1).alias("page_no"), "text")
 
 
+def read_rows(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Typed JSON lines; a line that doesn't fit is an error."""
+    return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
+
+
+def write_rows(rows: DataFrame, path: str) -> None:
+    rows.write.mode("overwrite").json(path)
+
+
 def markup_lines(markup):
     """Lines of text of an HTML page as a column: cells joined by bars, blocks apart, boilerplate and short
     lines without digits left out. Entities are decoded by html_text()."""

@@ -91,6 +91,20 @@ def test_rerank_falls_back_to_what_is_there(spark):
     assert how == "llm" and df.collect()[0].chunk_id == "b" and retrieval.pool_size(3) == 20 and retrieval.pool_size(3, False) == 9
 
 
+def test_search_with_injected_vectors_and_reranker(spark, tmp_path):
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(["red apple pie", "red apple pie again", "green pear tart", "blue sea"])], "doc_id long, text string")
+    queries = spark.createDataFrame([(7, "apple pie or pear")], "item_id long, text string")
+    vectors = spark.createDataFrame([(0, [1.0, 0.0]), (3, [0.0, 1.0])], "doc_id long, embedding array<double>")
+    plain, how = retrieval.search(docs, queries, 2)
+    assert how == "none" and {r.doc_id for r in plain.collect()} == {0, 2}
+    both, _ = retrieval.search(docs, queries, 3, vectors, lambda q: q.select("item_id", F.array(F.lit(0.0), F.lit(1.0)).alias("vector")))
+    assert {r.doc_id: r.retrievers for r in both.collect()}[3] == "dense"
+    last, how = retrieval.search(docs, queries, 1, reranker=lambda pool, k: (pool.orderBy(F.desc("rank")).limit(k), "mine"))
+    assert how == "mine" and last.count() == 1
+    ingest.write_rows(queries, str(tmp_path / "q"))
+    assert ingest.read_rows(spark, str(tmp_path / "q"), "item_id long, text string").collect() == queries.collect()
+
+
 def test_audit_chain_shows_change_removal_and_rewriting(spark):
     e = spark.createDataFrame([("t", i, f"p{i}") for i in range(6)], "key string, seq long, props string")
     log = records.append(e, "key", "seq", ["seq", "props"])
