@@ -228,7 +228,7 @@ def test_attention_is_normalised_and_blind_to_what_follows():
     ids = np.concatenate([r.integers(0, 48, 40), [48], r.integers(0, 48, 5), [48]]).astype(np.int32)
     run = lm.Run(ids, np.array([0, 41, 47]), np.arange(47), np.repeat([0, 1], [41, 6]), np.ones(47, np.int64))
     before = lm.windows(run, slice(0, 47), 49)
-    assert (before[0] == 49).all() and (before[41] == 49).all() and before[43].tolist() == [49] * 14 + ids[41:43].tolist() and before[20].tolist() == ids[4:20].tolist()
+    assert (before[0] == 49).all() and (before[41] == 49).all() and before[43].tolist() == [49] * (lm.INPUTS - 2) + ids[41:43].tolist() and before[20].tolist() == ids[20 - lm.INPUTS : 20].tolist()
     logs = lm.log_classes(vectors, params, 49, before)
     changed = ids.copy()
     changed[30:] = (changed[30:] + 1) % 48
