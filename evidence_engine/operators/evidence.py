@@ -24,18 +24,21 @@ def hop_prefix(hop):
     return F.concat(F.lit("H"), hop.cast("string"), F.lit("x"))
 
 
-def distinct_urls(results: DataFrame) -> DataFrame:
-    """results (run_id, rank, url, ...) with each url of a run kept where it comes first."""
-    return first_per_key(results, ["run_id", "url"], "rank")
+def distinct_urls(results: DataFrame, key: str = "url") -> DataFrame:
+    """results (run_id, rank, url, ...) with each url of a run kept where it comes first; key: another column that tells pages apart."""
+    return first_per_key(results, ["run_id", key], "rank")
 
 
-def web_evidence(results: DataFrame, pages: DataFrame, chunk_tokens: int = 320, start: int = 1) -> DataFrame:
+def web_evidence(results: DataFrame, pages: DataFrame, chunk_tokens: int = 320, start: int = 1, key: str = "url") -> DataFrame:
     """results (run_id, rank, url, title, snippet), pages (url, text) -> run_id, source_id, label, source, origin, url.
 
     A page's text is cut to four chunks; without one the snippet stands in, marked; without either the result is left out.
-    Numbers follow the place among the run's results, those left out included."""
+    Numbers follow the place among the run's results, those left out included. Results meet their pages by url; where one url
+    stands for several pages, key names a column of both tables that tells them apart. Of several texts of a page the first in
+    the order of texts that isn't blank is taken, so a result comes once."""
     body = F.trim(F.coalesce("page_text", F.lit("")))
-    met = results.join(pages.select(F.col("url").alias("_u"), F.col("text").alias("page_text")), F.col("url") == F.col("_u"), "left")
+    texts = pages.groupBy(F.col(key).alias("_u")).agg(F.min(F.when(F.trim("text") != "", F.col("text"))).alias("page_text"))
+    met = results.join(texts, F.col(key) == F.col("_u"), "left")
     place = F.row_number().over(Window.partitionBy("run_id").orderBy("rank")) + F.lit(start - 1)
     source = F.when(body != "", truncate_tokens(body, 4 * chunk_tokens)).when(F.coalesce("snippet", F.lit("")) != "", F.concat(F.lit(SNIPPET_MARK), "snippet"))
     label = F.concat(F.coalesce(F.nullif("title", F.lit("")), "url"), F.lit(" ["), F.coalesce(F.nullif(host(F.col("url")), F.lit("")), "url"), F.lit("]"))

@@ -4,12 +4,14 @@ import json
 from datetime import datetime
 
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from evidence_engine import cli
 from evidence_engine.functions import net
 from evidence_engine.operators import evaluation, evidence, governance, grounding, records, rerank, retrieval
+from evidence_engine.plans import run_oracles, run_queries
 from evidence_engine.sources import ingest, web
 from evidence_engine.streaming import live
 
@@ -73,6 +75,20 @@ def test_web_tables(spark):
     assert [(r.source_id, r.label) for r in got] == [("W1", "X [x]")]
 
 
+def test_web_evidence_of_a_url_with_several_pages(spark, tmp_path):
+    found = spark.createDataFrame([(1, 1, "http://x", "X", "s"), (1, 2, "http://y", "Y", "s")], "run_id long, rank int, url string, title string, snippet string")
+    pages = spark.createDataFrame([("http://x", "two"), ("http://x", "one"), ("http://x", " ")], "url string, text string")
+    assert [(r.source_id, r.source) for r in evidence.web_evidence(found, pages).orderBy("source_id").collect()] == [("W1", "one"), ("W2", evidence.SNIPPET_MARK + "s")]
+    # Pages 2 and 52 share a run and a url, 1 and 4 only a url, of which one was fetched.
+    table = spark.createDataFrame([(i, f"http://h.org/{ {52: 2, 4: 1}.get(i, i)}", "") for i in (0, 1, 2, 4, 51, 52, 102)], "page_id long, url string, html string")
+    table.write.parquet(str(tmp_path / "pages.parquet"))
+    got = run_queries.web_evidence(spark, str(tmp_path))
+    con = duckdb.connect()
+    con.sql(f"create view pages as select * from read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+    want = con.sql(f"select {', '.join(got.columns)} from ({run_oracles.ORACLES['web_evidence']})").fetchall()
+    assert sorted(map(tuple, got.collect())) == sorted(want) and len(want) == 6
+
+
 def test_entailment_without_verdicts_and_with_elided_quotes(spark):
     claims = spark.createDataFrame([(1, 0, "c0", ["S1"]), (1, 1, "c1", ["X", "S1"]), (1, 2, "c2", ["X"]), (1, 3, "c3", ["S1"])], "run_id int, index int, claim string, citations array<string>")
     known = spark.createDataFrame([(1, "S1", "Revenue grew  strongly in the third quarter.")], "run_id int, source_id string, source string")
