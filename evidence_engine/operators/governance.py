@@ -123,7 +123,10 @@ def step_breaker(state: tuple[int, float | None], at: float, ok: bool, threshold
 
 def in_order(df: DataFrame, key: str, order: list[str], step, schema: str) -> DataFrame:
     """Each key's rows folded in order by step(state or None, row) -> (state, output tuple). Rows stream through a sorted
-    partition, so a key of any length needs the memory of one batch."""
+    partition, so a key of any length needs the memory of one batch.
+
+    Rows are dealt by a hash of the key, not by the key itself: Spark takes such a step out where a join on the key lies below,
+    and may then change that join, at run time, into one that leaves a key's rows in several partitions."""
 
     def fold(batches):
         current, state = None, None
@@ -138,7 +141,7 @@ def in_order(df: DataFrame, key: str, order: list[str], step, schema: str) -> Da
             yield pd.DataFrame(out, columns=columns)
 
     columns = [c.split()[0] for c in schema.split(", ")]
-    return df.repartition(key).sortWithinPartitions(key, *order).mapInPandas(fold, schema)
+    return df.repartition(F.xxhash64(key)).sortWithinPartitions(key, *order).mapInPandas(fold, schema)
 
 
 def breakers(calls: DataFrame, threshold: int = 3, cooldown: float = 30.0) -> DataFrame:

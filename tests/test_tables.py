@@ -144,6 +144,22 @@ def test_audit_chain_shows_change_removal_and_rewriting(spark):
     assert {(r.key, r.records, r.valid) for r in records.verify(longer, "key", "seq").collect()} == {("t", 7, True), ("u", 1, True)}
 
 
+def test_audit_chain_over_a_join_that_changes_at_run_time(spark):
+    # Planned as a sort-merge join, run as a broadcast join that reads each map task's rows where they are.
+    names = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "10MB", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    try:
+        for name, value in names.items():
+            spark.conf.set(name, value)
+        e = spark.range(0, 400, 1, 8).select(F.concat(F.lit("u"), F.col("id") % 5).alias("key"), F.col("id").alias("seq"), F.col("id").cast("string").alias("props"))
+        first = records.append(e.filter("seq < 200"), "key", "seq", ["seq", "props"])
+        log = first.unionByName(records.append(e.filter("seq >= 200"), "key", "seq", ["seq", "props"], first)).collect()
+    finally:
+        for name in names:
+            spark.conf.unset(name)
+    found = records.verify(spark.createDataFrame(log), "key", "seq").collect()
+    assert len(found) == 5 and all(r.valid and r.records == 80 for r in found)
+
+
 def test_logs_are_read_by_tenant(spark, tmp_path):
     (tmp_path / "log.jsonl").write_text('{"tenant": "a", "event": "query"}\nnot json\n{"tenant": "b", "event": "query"}\n')
     assert records.read_log(spark, str(tmp_path), "tenant string, event string", "a").count() == 1
