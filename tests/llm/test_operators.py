@@ -283,6 +283,15 @@ def test_lm_beats_word_counts_on_held_out_texts(spark):
     assert rows.score.mean() > rows.base_score.mean() + 3
 
 
+def test_lm_looks_up_the_continuations_that_tasks_do_not_hold(spark):
+    r = np.random.default_rng(4)
+    stock = ["".join(r.choice(list("abcdefgh"), r.integers(3, 12))) for _ in range(800)]
+    texts = [" ".join([*r.choice(stock, r.integers(0, 40)), f"only{i}", f"only{i}"]) for i in range(200)] + ["", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3, "doc_id").cache()
+    few, all_ = (lm.lm_scores(df, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, edges=edges).orderBy("doc_id").toPandas() for edges in (1, 10_000))
+    assert len(few) == 202 and np.allclose(few.score, all_.score, rtol=1e-6) and (few.base_score == all_.base_score).all()
+
+
 def test_fingerprints(docs, none):
     got = by_id(fingerprint.fingerprints(docs))
 
