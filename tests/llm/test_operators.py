@@ -292,6 +292,18 @@ def test_lm_looks_up_the_continuations_that_tasks_do_not_hold(spark):
     assert len(few) == 202 and np.allclose(few.score, all_.score, rtol=1e-6) and (few.base_score == all_.base_score).all()
 
 
+def test_hashes_are_found_in_few_steps():
+    r = np.random.default_rng(5)
+    top = np.iinfo(np.uint64).max
+    for size in (0, 1, 2, 1000, 50_000):
+        table = np.unique(np.concatenate([r.integers(0, top, size, np.uint64), np.array([0, top], np.uint64)[: min(size, 2)]]))
+        index = lm._Index(table)
+        keys = np.concatenate([table, table + np.uint64(1), r.integers(0, top, 1000, np.uint64), np.array([0, top], np.uint64)])
+        at, there = index.find(keys)
+        assert (there == np.isin(keys, table)).all() and (table[at[there]] == keys[there]).all()
+        assert np.diff(index.begin, append=len(table)).max() <= 12
+
+
 def test_fingerprints(docs, none):
     got = by_id(fingerprint.fingerprints(docs))
 
