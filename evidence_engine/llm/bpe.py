@@ -176,25 +176,34 @@ def _take(pool, ends, at):
     return pool[np.repeat(start - upto[:-1], sizes) + np.arange(upto[-1])], upto
 
 
+#: The pattern of which is known that a run of letters, with a space before it or none, is one match.
+PLAIN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
 class _Known:
     """Spans of known chunks' ids in a pool, and of known pre-tokens' in another. New chunks are encoded together."""
 
     def __init__(self, ranks, pattern):
         self.merge_all = Merger(ranks).merge_all
         self.findall = regex.compile(pattern.replace(r"\S", f"[^{SPACE}]").replace(r"[^\s", f"[^{SPACE}").replace(r"\s", f"[{SPACE}]")).findall
-        self.forget()
-
-    def forget(self):
+        self.letters = pattern == PLAIN
         self.chunks, self.pieces = {}, {}
-        self.pool, self.ends = np.zeros(0, np.int32), np.zeros(1, np.int64)
-        self.piece_pool, self.piece_ends = self.pool, self.ends
-
-    def learn(self, chunks):
-        """Encode those of `chunks` that are new."""
-        new = [x for x in dict.fromkeys(chunks) if x not in self.chunks]
-        if not new:
-            return
-        split = list(map(self.findall, new))
+        self.bound(-1)
+
+    def bound(self, held):
+        """Forget all chunks, or all pre-tokens, if more than `held` are known. There are fewer pre-tokens, so they stay for longer."""
+        if len(self.chunks) > held:
+            self.chunks, self.pool, self.ends = {}, np.zeros(0, np.int32), np.zeros(1, np.int64)
+        if len(self.pieces) > held:
+            self.pieces, self.piece_pool, self.piece_ends = {}, np.zeros(0, np.int32), np.zeros(1, np.int64)
+
+    def split(self, chunk):
+        """Matches of PLAIN; letters of other scripts are left to the pattern."""
+        return [chunk] if chunk.isascii() and (chunk[1:] if chunk[0] == " " else chunk).isalpha() else self.findall(chunk)
+
+    def learn(self, new):
+        """Encode chunks that are new, each given once."""
+        split = list(map(self.split if self.letters else self.findall, new))
         parts = list(chain.from_iterable(split))
         fresh = [x for x in dict.fromkeys(parts) if x not in self.pieces]
         ids, sizes = self.merge_all([x.encode() for x in fresh])
@@ -210,8 +219,13 @@ class _Known:
         """Ids of all texts laid end to end, and the number of each text's ids."""
         split = list(map(CHUNKS.findall, texts))
         chunks = list(chain.from_iterable(split))
-        self.learn(chunks)
-        ids, upto = _take(self.pool, self.ends, np.fromiter(map(self.chunks.__getitem__, chunks), np.int64, len(chunks)))
+        at = np.fromiter(map(self.chunks.get, chunks, repeat(-1)), np.int64, len(chunks))
+        new = np.flatnonzero(at < 0).tolist()
+        if new:
+            new_chunks = [chunks[k] for k in new]
+            self.learn(list(dict.fromkeys(new_chunks)))
+            at[new] = np.fromiter(map(self.chunks.__getitem__, new_chunks), np.int64, len(new))
+        ids, upto = _take(self.pool, self.ends, at)
         return ids, np.diff(upto[np.concatenate([[0], np.cumsum(list(map(len, split)))]).astype(np.int64)])
 
 
@@ -274,8 +288,7 @@ def _encode(raw, pattern, held, decoding):
                     out = [batch.column("doc_id").slice(first, len(texts)), pa.ListArray.from_arrays(offsets, pa.array(ids, pa.int32()))]
                     if decoding:
                         out.append(back.decode(ids, sizes))
-                    if len(known.chunks) > held:
-                        known.forget()
+                    known.bound(held)
                     yield pa.RecordBatch.from_arrays(out, ["doc_id", "ids", "decoded"][: len(out)])
         finally:
             gc.enable()

@@ -379,6 +379,17 @@ def test_bpe(docs, none):
     assert bpe.encode(none, path, public_tokenizers.PATTERN).count() == 0
 
 
+def test_bpe_merges_each_pre_token_once_though_chunks_are_forgotten(monkeypatch):
+    merged, merge = [], bpe.Merger.merge_all
+    monkeypatch.setattr(bpe.Merger, "merge_all", lambda self, pieces: merged.extend(pieces) or merge(self, pieces))
+    monkeypatch.setattr(bpe, "GROUP", 100)
+    whole = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(RAW.value), special_tokens={})
+    texts = [" ".join(f"{w}{n}" for w in ("Wörter", "don't", "ab cd", "x", "\x1cqrs")) for n in range(100)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(100), pa.int64()), pa.array(texts)], ["doc_id", "text"])
+    got = [ids for b in bpe._encode(RAW, public_tokenizers.PATTERN, 150, True)([batch]) for ids in b.column("ids").to_pylist()]
+    assert got == [whole.encode_ordinary(t) for t in texts] and len(merged) == len(set(merged))
+
+
 def test_language(spark, docs, none):
     table = language.train(docs)
     pages = spark.createDataFrame([(1, "https://x.example.fr/a", '<html lang="fr"><script>the</script><p>le la les des une est avec</p></html>'), (2, None, None), (3, "", "")], "page_id long, url string, html string")
