@@ -199,6 +199,48 @@ def test_lm_counts_survive_a_flush_on_the_last_run(monkeypatch):
     assert counted() == whole and whole[lm.TEXTS] == 3 and whole[lm.FIRST] == 4 + 3 and sum(c for p, c in whole.items() if p < lm.RANGES) == 4
 
 
+def test_lm_counts_are_dealt_without_copies_for_arrow():
+    r = np.random.default_rng(6)
+    keys, n = r.integers(0, 400_000, 600_000).astype(np.uint64), r.integers(1, 5, 600_000)
+    for base, other in ((0, keys), (lm.TRIE, keys % np.uint64(1000))):
+        counts = lm._Counts(base)
+        counts.add(lm.T.mix(keys), lm.T.mix(other), n)
+        before = pa.total_allocated_bytes()
+        made = counts.rest()
+        assert pa.total_allocated_bytes() - before < 1 << 20  # one row a range; the blobs are numpy's
+        found = {}
+        for p, k, o, c in zip(*(column.to_pylist() for column in made.columns), strict=True):
+            k, o, c = np.frombuffer(k, np.uint64), np.frombuffer(o, np.uint64), np.frombuffer(c, np.int64)
+            assert len(k) == len(c) and len(o) == (len(k) if base else 0) and ((o if base else k) >> np.uint64(54) == p - base).all()
+            found |= dict(zip(k.tolist(), c.tolist(), strict=True))
+        want = np.bincount(keys.astype(np.int64), weights=n)
+        assert len(found) == (want > 0).sum() and all(found[x] == want[k] for k, x in enumerate(lm.T.mix(np.arange(len(want), dtype=np.uint64)).tolist()) if want[k])
+        assert counts.rest().num_rows == 0
+
+
+_GROWN = """
+import re, sys
+import pyarrow as pa
+from evidence_engine.llm.common import release
+anon = lambda: int(re.search(r"RssAnon:\\s+(\\d+)", open("/proc/self/status").read())[1]) >> 10
+release()
+before = anon()
+held = [pa.array([b"x" * (1 << 20)] * 8) for _ in range(25)]
+del held
+release()
+print(anon() - before)
+"""
+
+
+def test_release_hands_back_what_arrow_has_freed():
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    got = subprocess.run([sys.executable, "-c", _GROWN], cwd=Path(__file__).parents[2], capture_output=True, text=True, check=True, timeout=120)
+    assert int(got.stdout) < 40
+
+
 def test_attention_head_learns_from_every_training_text(spark, monkeypatch):
     def numbers(raw, pattern, shared):  # sets the weight that the text names to 2
         def rows(batches):
